@@ -30,5 +30,19 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op5_bpe_codec)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup_substrings
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_digits, near_duplicate_groups
+
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op5_bpe_codec, op8_substring_dedup, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
