@@ -22,6 +22,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = remainder("doc_id", 5) != 0
+    model = train(docs.filter(learn), labels.filter(learn))
+    return score_documents(docs.withColumn("held_out", ~learn), model)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +40,15 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_profiles, predict_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = remainder("doc_id", 3) == 1
+    profiles = learn_profiles(docs.filter(~held).select("text", "lang"))
+    return predict_documents(docs.select("doc_id", "text", held.alias("held_out")), profiles)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup_substrings
 
@@ -44,5 +63,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op5_bpe_codec, op8_substring_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
