@@ -28,7 +28,7 @@ from .common import each_text, stored
 
 ROWS, FEATURES = 6000, 5000
 EVIDENCE, Z = 1.5, 1.64
-L2, COUNTERFACTUAL = 1e-3, 5.0
+L2, COUNTERFACTUAL = 5e-5, 5.0
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (4, 5, 6)
