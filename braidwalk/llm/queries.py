@@ -40,6 +40,12 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .egojoin import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn_profiles, predict_documents
 
@@ -63,5 +69,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
