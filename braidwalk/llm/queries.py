@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_documents
 
@@ -69,5 +75,5 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
