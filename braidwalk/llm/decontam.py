@@ -3,7 +3,7 @@
 The benchmark's texts are cut into passages of at most ``PASSAGE`` words.  Their TF-IDF matrix (document frequencies
 counted over all documents) is reduced by a randomised SVD: sums of A'(A X) over distributed row blocks, a few power
 steps, and the Gram matrix of the projected rows.  Every document is cut into blocks of ``BLOCK`` words; at each block
-windows of 3, 5 and 9 blocks start, and each passage meets the windows that hold it whole at any offset.  Windows are
+windows of 2, 3 and 5 blocks start, and each passage meets the windows that hold it whole at any offset.  Windows are
 folded into the latent space; those with cosine >= ``COSINE`` to a passage are candidates.
 
 A candidate is a leak if the longest common subsequence of passage and window (a block wider on both sides) covers
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
-PASSAGE, BLOCK, LEAST, QUERIES = 64, 8, 5, 4096
-LATENT, OVERSAMPLE, POWER = 64, 8, 3
-COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.75, 0.55, 0.6
+PASSAGE, BLOCK, LEAST, QUERIES = 64, 16, 5, 256
+LATENT, OVERSAMPLE, POWER = 256, 8, 3
+COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.75, 0.5, 0.5
 #: Blocks of a window: a passage of up to 17, 33 or 65 words lies whole in some window of so many blocks.
-SCALES = (3, 5, 9)
+SCALES = (2, 3, 5)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
