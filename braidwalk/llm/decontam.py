@@ -125,12 +125,9 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = LATENT) -> np.n
     """Leading right singular vectors (terms x rank) of the TF-IDF rows (ids: array of term numbers from 1)."""
 
     def summed(x: np.ndarray, gram: bool) -> np.ndarray:
-        width = x.shape[1]
-        parts = rows.select("ids").mapInArrow(_row_sums(idf, x, gram), "r long, x array<double>")
-        total = parts.groupBy("r").agg(F.array(*[F.sum(F.col("x")[k]) for k in range(width)]).alias("x"))
-        out = np.zeros((width if gram else len(idf), width))
-        for r, v in total.collect():  # terms of a block x width numbers
-            out[r] = v
+        out = np.zeros((x.shape[1] if gram else len(idf), x.shape[1]))
+        for r, v in rows.select("ids").mapInArrow(_row_sums(idf, x, gram), "r long, x array<double>").collect():
+            out[r] += v  # a block's tasks return one row a term of theirs: PASSAGE * QUERIES rows at most
         return out
 
     width = min(rank + OVERSAMPLE, len(idf))
