@@ -75,5 +75,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lmscore import score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder("doc_id", 10) == 0
+    out = score_documents(docs.withColumns({"held_out": held, "learn": ~held}), "learn", public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.drop("learn")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_token_counts, op4_toxicity, op5_bpe_codec, op6_embedding_near_dedup, op7_language_id, op8_substring_dedup, op9_simhash_near_dedup, op10_lm_score)}
 ORACLES: dict[str, str] = {}
