@@ -1,13 +1,20 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  Of two fingerprints at most 4 bits apart, some two
-segments differ in at most 2 bits together (were each pair of segments 3 apart, the sum would exceed 4), so a word at
-most one flip from either of them exists.  Every word of 23 bits decodes, in the perfect binary Golay code, to one
-12-bit index; the keys of a pair of segments are the index pairs of itself and of each single flip (11 at most, as one
-segment's flips give 5 further indices at most).  Fingerprints in reach share a key; buckets are verified exactly.
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  Every word of 23 bits decodes, in the perfect binary
+Golay code, to one 12-bit index, and the words one flip away decode to five further indices at most.  Two segments at
+most 2 bits apart have a word within one flip of both, so they share an index.  By pigeonhole, the errors of two
+fingerprints at most 4 bits apart fall on the segments in one of two ways:
 
-Buckets of one fingerprint are dropped by a count; large ones are cut into chunks and every pair of chunks is a task's
-unit, so no bucket has a cap and none lands in one task.  A unit emits a spanning forest of its links, never all pairs.
+* a segment has none, and of the other two one has at most 2: the key is the first as it is and an index of the second
+  (6 x 6 keys at most);
+* none is free of errors, so they are 1, 1, 1 or 1, 1, 2: some word lies within two flips of both, in different
+  segments; the key is its three indices (91 keys at most).
+
+Fingerprints in reach share a key; keys are long enough that others rarely do.  Buckets are verified exactly.
+
+Keys of one fingerprint drop out by a count; keys of two are checked as they are; larger buckets are cut into chunks and
+every pair of chunks is a unit of work, so no bucket has a cap and none lands in one task.  A unit emits a spanning
+forest of its links, never all pairs.
 
 Equal fingerprints (copies, and all texts without words: fingerprint 0) are one node.  Null texts count as empty, rows
 that repeat stay rows.  An empty table gives an empty result.
@@ -76,24 +83,25 @@ def golay_index() -> np.ndarray:
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every distinct key of each fingerprint (uint64)."""
     index = golay_index()
-    own, near = [], []
+    exact, near = [], []
     for shift, width in SEGMENTS:
         s = ((fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        own.append(index[s].astype(np.int64))
+        own = index[s].astype(np.int64)
         flips = np.sort(index[s[:, None] ^ (1 << np.arange(width))].astype(np.int64), axis=1)
         flips[:, 1:][flips[:, 1:] == flips[:, :-1]] = -1
-        flips[flips == own[-1][:, None]] = -1
-        near.append(flips)
+        flips[flips == own[:, None]] = -1
+        exact.append(s)
+        near.append(np.concatenate([own[:, None], np.sort(flips, axis=1)[:, :-6:-1]], axis=1))  # own, then up to 5 others
     rows, keys = [], []
-    every = np.arange(len(fps))
-    for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        tag = n << 24
-        rows.append(every)
-        keys.append(tag | own[a] << 12 | own[b])
-        i, j = np.nonzero(near[a] >= 0)
-        rows.append(i), keys.append(tag | near[a][i, j] << 12 | own[b][i])
+    for n, (a, b) in enumerate((x, y) for x in range(3) for y in range(3) if x != y):
         i, j = np.nonzero(near[b] >= 0)
-        rows.append(i), keys.append(tag | own[a][i] << 12 | near[b][i, j])
+        rows.append(i), keys.append((n + 1) << 40 | exact[a][i] << 12 | near[b][i, j])
+    for x in range(6):  # at most two of the three leave their own index
+        for y in range(6):
+            for z in range(6):
+                if (x > 0) + (y > 0) + (z > 0) <= 2:
+                    i = np.flatnonzero((near[0][:, x] >= 0) & (near[1][:, y] >= 0) & (near[2][:, z] >= 0))
+                    rows.append(i), keys.append(near[0][i, x] << 24 | near[1][i, y] << 12 | near[2][i, z])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -130,11 +138,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = batch.column(0)
         flat, off = col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
         at = np.concatenate([[0], np.cumsum(off)])
-        two = at[:-1][off == 2]
-        x, y = flat[two], flat[two + 1]
-        ok = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= MAX_BITS
-        a, b = [x[ok]], [y[ok]]
-        for i in np.flatnonzero(off > 2):
+        none = np.zeros(0, np.int64)
+        a, b = [none], [none]
+        for i in np.flatnonzero(off > 1):
             v = flat[at[i] : at[i + 1]]
             if pairs := linked(v.view(np.uint64)):
                 p = np.array(pairs)
@@ -145,12 +151,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` (long) that span every component of those <= 4 bits apart."""
     keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = keyed.join(shared, "key").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+    pairs = buckets.filter("n = 2").select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    parts = keyed.join(buckets.filter("n > 2").select("key", "n"), "key").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
     parts = parts.withColumn("c", F.when(F.col("m") > 1, F.pmod(F.xxhash64("fp"), F.col("m"))).otherwise(0).cast("int"))
     others = F.when(F.col("m") > 1, F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda o: o != F.col("c"))).otherwise(F.array(F.lit(0)))
     units = parts.withColumn("o", F.explode(others)).groupBy("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list("fp").alias("fps"))
-    return units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long").distinct()
+    found = units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long")
+    return pairs.unionByName(found).distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
