@@ -12,8 +12,8 @@ fingerprints at most 4 bits apart fall on the segments in one of two ways:
 
 Fingerprints in reach share a key; keys are long enough that others rarely do.  Buckets are verified exactly.
 
-Keys of one fingerprint drop out by a count; keys of two are checked as they are; larger buckets are cut into chunks and
-every pair of chunks is a unit of work, so no bucket has a cap and none lands in one task.  A unit emits a spanning
+Keys of one fingerprint drop out by a count; buckets over ``CHUNK`` distinct fingerprints are cut into chunks and every
+pair of chunks is a unit of work, so no bucket has a cap and none lands in one task.  A unit emits a spanning
 forest of its links, never all pairs.
 
 Equal fingerprints (copies, and all texts without words: fingerprint 0) are one node.  Null texts count as empty, rows
@@ -150,15 +150,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` (long) that span every component of those <= 4 bits apart."""
-    keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long")
-    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    pairs = buckets.filter("n = 2").select("a", "b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    parts = keyed.join(buckets.filter("n > 2").select("key", "n"), "key").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
+    # one exchange of the keys serves both the count and the join back
+    keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long").repartition("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = keyed.join(shared.hint("merge"), "key").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
     parts = parts.withColumn("c", F.when(F.col("m") > 1, F.pmod(F.xxhash64("fp"), F.col("m"))).otherwise(0).cast("int"))
     others = F.when(F.col("m") > 1, F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda o: o != F.col("c"))).otherwise(F.array(F.lit(0)))
-    units = parts.withColumn("o", F.explode(others)).groupBy("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).agg(F.collect_list("fp").alias("fps"))
-    found = units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long")
-    return pairs.unionByName(found).distinct()
+    units = parts.withColumn("o", F.explode(others)).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
+    units = units.repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    return units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
