@@ -23,6 +23,8 @@ from .common import each_text
 
 TOP, UNKNOWN = 300, "und"
 STRETCH, FLUSH = 1 << 20, 1 << 20
+#: Stands for a word edge; no letter has this code point.
+EDGE = 1
 
 
 @lru_cache(maxsize=1)
@@ -32,14 +34,14 @@ def letters() -> np.ndarray:
 
 
 def _codes(stretch: str) -> np.ndarray:
-    """Codes of all n-grams of a text that starts and ends at a word edge (0 stands for an edge)."""
+    """Codes of all n-grams of a text that starts and ends at a word edge."""
     c = np.frombuffer(stretch.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    c[~letters()[c]] = 0
-    c = np.concatenate([[0], c, [0]])
-    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    c[~letters()[c]] = EDGE
+    c = np.concatenate([[EDGE], c, [EDGE]])
+    c = c[np.concatenate([[True], (c[1:] != EDGE) | (c[:-1] != EDGE)])]
     two = c[:-1] << 21 | c[1:]
-    inner = c[1:-1] != 0
-    return np.concatenate([c[c != 0], two, (two[:-1][inner] << 21) | c[2:][inner]])
+    inner = c[1:-1] != EDGE
+    return np.concatenate([c[c != EDGE], two, (two[:-1][inner] << 21) | c[2:][inner]])
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
