@@ -10,7 +10,7 @@ def parse_walk(path: Column) -> Column:
     """'>12<7' as array of struct(id, fwd)."""
     ids = F.regexp_extract_all(path, F.lit(r"([<>])([0-9]+)"), F.lit(2))
     signs = F.regexp_extract_all(path, F.lit(r"([<>])([0-9]+)"), F.lit(1))
-    return F.transform(F.arrays_zip(ids.alias("i"), signs.alias("s")), lambda x: F.struct(x["i"].cast("long").alias("id"), (x["s"] == ">").alias("fwd")))
+    return F.transform(F.arrays_zip(ids.alias("i"), signs.alias("s")), lambda x: F.struct(x["i"].try_cast("long").alias("id"), (x["s"] == ">").alias("fwd")))
 
 
 def mostly_forward(walk: Column) -> Column:

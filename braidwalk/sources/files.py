@@ -18,21 +18,21 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def gfa_nodes(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
-    return spark.read.text(path).filter(F.col("value").startswith("S\t")).select(f[1].cast("long").alias("node_id"), F.length(f[2]).cast("long").alias("length"), f[2].alias("seq"))
+    return spark.read.text(path).filter(F.col("value").startswith("S\t")).select(F.get(f, F.lit(1)).try_cast("long").alias("node_id"), F.length(F.get(f, F.lit(2))).try_cast("long").alias("length"), F.get(f, F.lit(2)).alias("seq"))
 
 
 def gfa_edges(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
-    return spark.read.text(path).filter(F.col("value").startswith("L\t")).select(f[1].cast("long").alias("src"), (f[2] == "+").alias("src_fwd"), f[3].cast("long").alias("dst"), (f[4] == "+").alias("dst_fwd"))
+    return spark.read.text(path).filter(F.col("value").startswith("L\t")).select(F.get(f, F.lit(1)).try_cast("long").alias("src"), (F.get(f, F.lit(2)) == "+").alias("src_fwd"), F.get(f, F.lit(3)).try_cast("long").alias("dst"), (F.get(f, F.lit(4)) == "+").alias("dst_fwd"))
 
 
 def gfa_steps(spark: SparkSession, path: str) -> DataFrame:
     """(path, idx, node, fwd, length) of W and P lines; steps on nodes that do not exist are left out."""
     f = F.split("value", "\t")
     text = spark.read.text(path)
-    w = text.filter(F.col("value").startswith("W\t")).select(F.concat_ws("#", f[1], f[2], f[3]).alias("path"), wk.parse_walk(f[6]).alias("w"))
-    parts = F.transform(F.split(f[2], ","), lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("long").alias("id"), x.endswith("+").alias("fwd")))
-    p = text.filter(F.col("value").startswith("P\t")).select(f[1].alias("path"), parts.alias("w"))
+    w = text.filter(F.col("value").startswith("W\t")).select(F.concat_ws("#", F.get(f, F.lit(1)), F.get(f, F.lit(2)), F.get(f, F.lit(3))).alias("path"), wk.parse_walk(F.get(f, F.lit(6))).alias("w"))
+    parts = F.transform(F.split(F.get(f, F.lit(2)), ","), lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).try_cast("long").alias("id"), x.endswith("+").alias("fwd")))
+    p = text.filter(F.col("value").startswith("P\t")).select(F.get(f, F.lit(1)).alias("path"), parts.alias("w"))
     steps = w.unionByName(p).select("path", F.posexplode("w").alias("idx", "n")).select("path", "idx", F.col("n.id").alias("node"), F.col("n.fwd").alias("fwd"))
     return steps.join(gfa_nodes(spark, path).select(F.col("node_id").alias("node"), "length"), "node").select("path", "idx", "node", "fwd", "length")
 
@@ -91,7 +91,7 @@ def fastq(spark: SparkSession, *paths: str) -> DataFrame:
 
 def bed(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
     f = F.split("value", "\t")
-    rows = spark.read.text(path).filter(F.size(f) >= 3).select(f[0].alias("chrom"), f[1].try_cast("long").alias("start"), f[2].try_cast("long").alias("end")).filter("start is not null and end is not null")
+    rows = spark.read.text(path).filter(F.size(f) >= 3).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end")).filter("start is not null and end is not null")
     return rows.filter(F.col("chrom") == chrom) if chrom else rows
 
 
