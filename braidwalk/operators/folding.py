@@ -144,13 +144,86 @@ def merge_pass(snarls: list[dict], graph: Graph, s: Settings) -> list[dict]:
     return out
 
 
+def stretch(anchor: dict, other: dict | None, graph: Graph, left: bool) -> list[tuple[int, int]]:
+    """(node, free bases) from an anchor's boundary towards a neighbour, along unbranched nodes."""
+    side, facing = ("low", "high") if left else ("high", "low")
+    node = ends(anchor)[not left]
+    goal = ends(other["anchors"][0])[left] if other and other["anchors"] else None
+    out = []
+    while goal is not None:
+        free = graph.length[node] - (0 if out else anchor[side]) - (other["anchors"][0][facing] if node == goal else 0)
+        out.append((node, max(0, free)))
+        onward = graph.near.get((node, left), [])
+        if node == goal or len(onward) != 1:
+            break
+        node = onward[0]
+    return out
+
+
+def reached(anchor: dict, way: list[tuple[int, int]], bases: int, left: bool, graph: Graph) -> None:
+    """Occupy so many bases along a stretch, adding the nodes it needs."""
+    side = "low" if left else "high"
+    for k, (node, free) in enumerate(way):
+        take = min(bases, free)
+        if k and take:
+            entry = (node, graph.length[node], anchor["walk"][0][2])
+            at_front = left == (anchor["walk"][0][0] <= anchor["walk"][-1][0])
+            anchor["walk"] = [entry, *anchor["walk"]] if at_front else [*anchor["walk"], entry]
+            anchor[side] = 0
+        anchor[side] += take
+        bases -= take
+
+
+def independent_pass(snarls: list[dict], before: dict[str, list[dict]], graph: Graph, s: Settings) -> None:
+    """Anchors of short, unmerged het snarls choose their own bounds, from how they were before any extension.
+
+    Of the ways to split the missing bases over both sides the one most reads allow wins, the largest left part first;
+    with fewer than ``independent_reads`` an anchor stays as it is.  Neighbours count as they are by now.
+    """
+    for i, snarl in enumerate(snarls):
+        if len(snarl["members"]) > 1 or len(snarl["anchors"]) < 2 or shortest(snarl) >= s.anchor_length:
+            continue
+        old = {a["key"]: a for a in before[snarl["id"]]}
+        cap = s.anchor_length - min(map(size, old.values()))
+        near = [snarls[k] if 0 <= k < len(snarls) else None for k in (i - 1, i + 1)]
+        first = next(iter(old.values()))
+        ways = [stretch(first, n, graph, left) for n, left in zip(near, (True, False))]
+        free = [min(cap, sum(f for _, f in w)) for w in ways]
+        if sum(free) < cap:
+            continue
+        for at, a in enumerate(snarl["anchors"]):
+            base = old[a["key"]]
+            missing = s.anchor_length - size(base)
+            best: tuple[int, int] | None = None
+            for off in range(max(0, min(missing, free[0])), max(0, missing - free[1]) - 1, -1):
+                fit = sum(r[room(r, True)] >= off and r[room(r, False)] >= missing - off for r in base["reads"])
+                if best is None or fit > best[0]:
+                    best = fit, off
+            if best is None or best[0] < s.independent_reads:
+                continue
+            off, rest = best[1], missing - best[1]
+            new = base | {"walk": list(base["walk"]), "reads": []}
+            for r in base["reads"]:
+                if r[room(r, True)] >= off and r[room(r, False)] >= rest:
+                    r = r | {"start": r["start"] - off, "end": r["end"] + rest}
+                    r[room(r, True)] -= off
+                    r[room(r, False)] -= rest
+                    new["reads"].append(r)
+            reached(new, ways[0], off, True, graph)
+            reached(new, ways[1], rest, False, graph)
+            snarl["anchors"][at] = new
+
+
 def fold(snarls: list[dict], graph: Graph, settings: Settings = DEFAULT) -> tuple[list[dict], list[dict]]:
-    """Het passes 0 to 2, hom passes 0 to 2, then merging; (snarls, dropped reads)."""
+    """Het passes 0 to 2, hom passes 0 to 2, merging, independent extension; (snarls, dropped reads)."""
     log: list[dict] = []
+    before = {s["id"]: [a | {"walk": list(a["walk"]), "reads": [dict(r) for r in a["reads"]]} for a in s["anchors"]] for s in snarls}
     for het in (True, False):
         for iteration in range(3):
             extend_pass(snarls, graph, het, iteration, log, settings)
-    return merge_pass(snarls, graph, settings), log
+    done = merge_pass(snarls, graph, settings)
+    independent_pass(done, before, graph, settings)
+    return done, log
 
 
 OUT = "component long, snarl_id string, members array<long>, key string, walk array<struct<id:bigint,length:bigint,fwd:boolean>>, low int, high int, length int, paths array<string>, read string, strand int, start long, end long, match_limit long, cs_left long, cs_right long, dropped_in int"

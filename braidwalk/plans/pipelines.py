@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..config import DEFAULT, Settings
 from ..functions import walks as wk
-from ..operators import folding, graph, linkage, matching, quality, traversal
+from ..operators import extension, folding, graph, linkage, matching, quality, traversal
 from ..sources import files
 
 
@@ -58,7 +58,10 @@ def get_anchors(spark: SparkSession, dictionary: str, alignments: str, fasta: st
     final = done.filter("dropped_in is null").select("snarl_id", "members", wk.walk_text(F.col("walk")).alias("anchor"), "key", "read", "strand", "start", "end")
     seqs = files.fasta(spark, fasta).select(F.col("id").alias("read"), "seq")
     n = final.groupBy("snarl_id").agg(F.count_distinct("key").alias("n"), F.max(F.size("members")).alias("m"))
-    exempt = n.filter("n = 1 or m > 1").select("snarl_id")
+    first, last = F.col("walk")[0]["id"], F.element_at("walk", -1)["id"]
+    bounds = done.filter("dropped_in is null").select("snarl_id", "key", F.least(first, last).alias("low_id"), F.greatest(first, last).alias("high_id"), F.col("low").alias("occ_low"), F.col("high").alias("occ_high")).distinct()
+    apart = extension.independently_extended(bounds.withColumnRenamed("snarl_id", "snarl")).filter("independent").select(F.col("snarl").alias("snarl_id"))
+    exempt = n.filter("n = 1 or m > 1").select("snarl_id").unionByName(apart)
     sinks.table(quality.pruned(final, quality.repeated_snarls(final, seqs, exempt, settings)), f"{out}/pruned")
     pruned = spark.read.parquet(f"{out}/pruned")
     sinks.anchor_lines(final, f"{out}/extended.jsonl")

@@ -71,8 +71,10 @@ def test_extension_fold():
     done, log = folding.fold(snarls, folding.Graph(lengths, near))
     first = done[0]["anchors"]
     # no neighbour on the left; on the right the scarcest read allows 9 bases, so both alleles grow by 9 to 12
-    assert [folding.size(a) for a in first] == [12, 12] and first[0]["high"] == 10
-    assert all(r["end"] == 112 and r["cs_right"] in (11, 0) for a in first for r in a["reads"])
+    assert [folding.size(a) for a in first] == [16, 12] and first[1]["high"] == 10
+    assert all(r["end"] == 112 and r["cs_right"] == 0 for r in first[1]["reads"])
+    # alone, the first allele has reads for all 13 missing bases on the right
+    assert first[0]["high"] == 14 and all((r["start"], r["end"], r["cs_right"]) == (100, 116, 7) for r in first[0]["reads"])
     assert [folding.size(a) for a in done[1]["anchors"]] == [16, 16] and not log
 
 
