@@ -31,6 +31,7 @@ from .common import stored
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
 PASSAGE, BLOCK, LEAST, QUERIES = 64, 16, 5, 256
 LATENT, OVERSAMPLE, POWER = 256, 8, 3
+DENSE = 96
 COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.75, 0.5, 0.5
 #: Blocks of a window: a passage of up to 17, 33 or 65 words lies whole in some window of so many blocks.
 SCALES = (2, 3, 5)
@@ -78,6 +79,11 @@ class Queries:
     def place(self, idf: np.ndarray, directions: np.ndarray) -> None:
         self.weights = np.zeros((len(self.number) + 1, directions.shape[1]), np.float32)
         self.weights[1:] = idf[:, None] * directions
+        top = np.argsort(idf, kind="stable")[:DENSE]
+        self.rank = np.full(len(self.number) + 1, -1)
+        self.rank[1 + top] = np.arange(len(top))
+        self.dense = np.zeros((DENSE, directions.shape[1]), np.float32)
+        self.dense[: len(top)] = self.weights[1 + top]
         self.scale = np.array([next(s for s in SCALES if len(w) <= (s - 1) * BLOCK + 1) for w in self.words])
         q = np.array([self.weights[w].sum(axis=0) for w in self.words])
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
@@ -153,15 +159,24 @@ def leaks_of(texts: list[str], q: Queries) -> list[tuple[int, int, float, float,
     blocks = np.zeros((len(flat) // BLOCK, q.weights.shape[1]), np.float32)
     if not len(known):
         return []
-    b = known // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    blocks[b[first]] = np.add.reduceat(q.weights[flat[known]], first, axis=0)
+    # terms that documents use most are counted by block and multiplied; the others' rows are gathered
+    b, rank = known // BLOCK, q.rank[flat[known]]
+    often = rank >= 0
+    counts = np.bincount(b[often] * DENSE + rank[often], minlength=len(blocks) * DENSE).reshape(-1, DENSE)
+    np.matmul(counts.astype(np.float32), q.dense, out=blocks)
+    known, b = known[~often], b[~often]
+    if len(known):
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        blocks[b[first]] += np.add.reduceat(q.weights[flat[known]], first, axis=0)
     best: dict[tuple[int, int], tuple] = {}
     starts_ = np.array(starts)
-    for scale, members, latent in q.groups:
-        window = blocks[: len(blocks) - scale + 1].copy()
-        for k in range(1, scale):
-            window += blocks[k : len(blocks) - scale + 1 + k]
+    window, width = blocks, 1
+    for scale, members, latent in q.groups:  # by growing scale
+        n = len(blocks) - scale + 1
+        window = window[:n] + blocks[width : width + n] if scale > width else window[:n]
+        for k in range(width + 1, scale):
+            window += blocks[k : k + n]
+        width = scale
         norm = np.sqrt(np.einsum("ij,ij->i", window, window))
         hits = window @ latent >= (COSINE * np.maximum(norm, 1e-6))[:, None]
         for w, j in zip(*np.nonzero(hits)):
@@ -221,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts, rows, n = [], [], 0
     for r in items.toLocalIterator():  # one block of queries at a time on the driver
         rows.append((r["item_id"], r["text"]))
-        n += 1 + len(r["text"]) // (2 * PASSAGE)  # as many passages at most
+        n += len(passages_of(r["text"]))
         if n >= QUERIES:
             parts.append(block(rows))
             rows, n = [], 0
