@@ -43,6 +43,7 @@ class MergeList:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.surface = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.surface_bytes = {i: t.encode() for i, t in self.surface.items()}
         self.byte_char = byte_alphabet()
         self.char_byte = {c: b for b, c in self.byte_char.items()}
         self.first = [self.ids[self.byte_char[b]] for b in range(256)]
@@ -135,12 +136,13 @@ class TextDecoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, *tokens: int) -> str:
-        m = self.m
         if self.surfaces:
-            data = (" " * self.started + " ".join([m.surface[t] for t in tokens])).encode()
-        else:
-            data = b"".join(map(self._bytes, tokens))
-        self.started = self.started or bool(tokens)
+            return self.feed_bytes(b" ".join([self.m.surface_bytes[t] for t in tokens])) if tokens else ""
+        return self.machine.decode(b"".join(map(self._bytes, tokens)))
+
+    def feed_bytes(self, data: bytes) -> str:
+        """Surfaces that the caller has joined."""
+        data, self.started = (b" " + data if self.started else data), True
         return self.machine.decode(data)
 
     def _bytes(self, token: int) -> bytes:
@@ -164,11 +166,11 @@ class Codec:
         #: Fixed value: the vocabulary file's pattern of pre-tokens.  White space only separates, so it stays as it is.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.m.special, key=len, reverse=True))) + ")") if self.m.special else None
-        self.known: dict[str, tuple[list[int], str, str]] = {}
-        self.before: dict[str, tuple[list[int], str, str]] = {}
+        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.before: dict[str, tuple[int, str, bytes, list[int]]] = {}
 
-    def pre_tokens(self, text: str) -> Iterator[str | int]:
-        """Pre-tokens in order; a special token's own string gives its id."""
+    def blocks(self, text: str) -> Iterator[list[str] | int]:
+        """Pre-tokens in order, a list for each stretch; a special token's own string gives its id."""
         for part in self.splits.split(text) if self.splits and any(s in text for s in self.m.special) else [text]:
             if part in self.m.special:
                 yield self.m.special[part]
@@ -178,79 +180,63 @@ class Codec:
                 hi = len(part) if len(part) - lo <= STRETCH else part.find(" ", lo + STRETCH)
                 hi = len(part) if hi < 0 else hi
                 s = part[lo:hi]
-                s = s if s.isascii() else unicodedata.normalize("NFC", s)
-                yield from self.pattern.findall(s.replace("Σ", "σ").lower())
+                s = s.lower() if s.isascii() else unicodedata.normalize("NFC", s).replace("Σ", "σ").lower()
+                yield self.pattern.findall(s)
                 lo = hi
 
     def ids(self, word: str) -> Iterator[int]:
         """One pre-token through the transducer."""
         t = Transducer(self.m)
-        data = word.encode()
-        if len(data) > self.m.window:
-            yield from t.feed(data)
-        else:
-            t.held += data
+        yield from t.feed(word.encode())
         yield from t.close()
 
-    def surfaces(self, ids: list[int]) -> str:
-        d = TextDecoder(self.m)
-        return d.feed(*ids) + d.close()
-
-    def entry(self, word: str | int) -> tuple[list[int], str, str]:
-        """(ids, ids as text, decoded text) of a pre-token."""
+    def entry(self, word: str) -> tuple[int, str, bytes, list[int]]:
+        """(number of ids, ids as text, bytes of the tokens' strings, ids) of a pre-token."""
         out = self.before.get(word)
         if out is None:
-            ids = [word] if isinstance(word, int) else list(self.ids(word))
-            out = (ids, " ".join(map(str, ids)), self.surfaces(ids))
-        if isinstance(word, str) and len(word) <= REMEMBER_CHARS:
+            m, data = self.m, word.encode()
+            if len(data) > m.window:
+                ids = list(self.ids(word))
+            else:  # all of it fits in what the transducer holds
+                symbols = [m.first[b] for b in data]
+                symbols[-1] = m.last[data[-1]]
+                ids = m.merged(symbols)
+            out = (len(ids), " ".join(map(str, ids)), b" ".join([m.surface_bytes[t] for t in ids]), ids)
+        if len(word) <= REMEMBER_CHARS:
             if len(self.known) >= REMEMBER:
                 self.before = dict(self.known)
                 self.known.clear()
             self.known[word] = out
         return out
 
+    def stream(self, text: str) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
+        """Entries in order, in lists; the ids of a giant pre-token one by one as they become stable."""
+        get, entry, m = self.known.get, self.entry, self.m
+        single = lambda t: [(1, str(t), m.surface_bytes[t], [t])]
+        for block in self.blocks(text):
+            if isinstance(block, int):
+                yield single(block)
+            elif block and len(block) * 100 < STRETCH and max(map(len, block)) > STRETCH:
+                for w in block:
+                    yield from map(single, self.ids(w)) if len(w) > STRETCH else ([entry(w)],)
+            elif block:
+                yield [get(w) or entry(w) for w in block]
+
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for w in self.pre_tokens(text):
-            out += (known.get(w) or self.entry(w))[0]
-        return out
+        return [t for entries in self.stream(text) for e in entries for t in e[3]]
 
     def digest(self, text: str, with_ids: bool = False) -> tuple:
         """(number of tokens, SHA-256 of the ids as text, SHA-256 of the decoded text[, ids])."""
-        known, n, kept = self.known, 0, []
-        h, d, sep = hashlib.sha256(), hashlib.sha256(), ""
-        part: list[tuple] = []
-
-        def flush():
-            nonlocal sep
-            h.update((sep + " ".join([e[1] for e in part])).encode())
-            d.update((sep + " ".join([e[2] for e in part])).encode())
+        n, kept, sep = 0, [], ""
+        h, d, decoder = hashlib.sha256(), hashlib.sha256(), TextDecoder(self.m)
+        for entries in self.stream(text):
+            n += sum([e[0] for e in entries])
+            h.update((sep + " ".join([e[1] for e in entries])).encode())
+            d.update(decoder.feed_bytes(b" ".join([e[2] for e in entries])).encode())
             sep = " "
-            part.clear()
-
-        for w in self.pre_tokens(text):
-            e = known.get(w)
-            if e is None:
-                if isinstance(w, str) and len(w) > 4 * STRETCH:  # one giant pre-token: ids leave as they are stable
-                    if part:
-                        flush()
-                    for t in self.ids(w):
-                        n += 1
-                        if with_ids:
-                            kept.append(t)
-                        h.update(f"{sep}{t}".encode())
-                        d.update(f"{sep}{self.m.surface[t]}".encode())
-                        sep = " "
-                    continue
-                e = self.entry(w)
-            part.append(e)
-            n += len(e[0])
             if with_ids:
-                kept += e[0]
-            if len(part) >= 8192:
-                flush()
-        if part:
-            flush()
+                kept += [t for e in entries for t in e[3]]
+        d.update(decoder.close().encode())
         return (n, h.hexdigest(), d.hexdigest(), kept) if with_ids else (n, h.hexdigest(), d.hexdigest())
 
 
