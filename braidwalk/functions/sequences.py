@@ -43,14 +43,15 @@ def outside(s: Column, intervals: Column) -> Column:
 def dust_intervals(seq: str, window: int = 40, threshold: int = 4) -> list[tuple[int, int]]:
     """Low-complexity intervals by symmetric DUST.
 
-    An interval of triplets scores sum of c (c - 1) / 2 over triplet counts, divided by its number of triplets less one.
-    It is masked if it scores over ``threshold`` / 2 ... in units of ten as usual, and no part of it scores more.
+    An interval of triplets scores the sum of c (c - 1) / 2 over triplet counts, divided by its number of triplets less
+    one.  It is masked if it scores over half of ``threshold`` and no part of it scores more.
     """
     code = {c: i for i, c in enumerate("ACGT")}
     n = len(seq)
     perfect: list[tuple[int, int, float]] = []
     masked: list[list[int]] = []
     triplets: deque[tuple[int, int]] = deque()
+    within = [0] * 64  # of each triplet, in the window
 
     def best_from(end: int) -> None:
         """Perfect intervals that end with the newest triplet."""
@@ -62,7 +63,7 @@ def dust_intervals(seq: str, window: int = 40, threshold: int = 4) -> list[tuple
             counts[t] = c + 1
             if length > 1:
                 ratio = score / (length - 1)
-                if ratio * 10 > threshold * 10 / 2 and ratio >= top:
+                if ratio * 2 > threshold and ratio >= top:
                     inside = max((p[2] for p in perfect if p[0] >= start and p[1] <= end), default=0.0)
                     if ratio >= inside:
                         perfect.append((start, end, ratio))
@@ -75,14 +76,21 @@ def dust_intervals(seq: str, window: int = 40, threshold: int = 4) -> list[tuple
             word, run = 0, 0
             triplets.clear()
             perfect.clear()
+            within = [0] * 64
             continue
         word, run = (word << 2 | b) & 63, run + 1
         if run < 3:
             continue
         triplets.append((i - 2, word))
+        within[word] += 1
         while triplets[0][0] < i + 1 - window:
-            old = triplets.popleft()[0]
-            perfect[:] = [p for p in perfect if p[0] > old]
+            old, gone = triplets.popleft()
+            within[gone] -= 1
+            if perfect:
+                perfect[:] = [p for p in perfect if p[0] > old]
+        # an interval scores no less without its newest triplet unless that adds more than the ratio it must pass
+        if (within[word] - 1) * 2 <= threshold:
+            continue
         before = len(perfect)
         best_from(i + 1)
         for s, e, _ in perfect[before:]:
