@@ -9,6 +9,7 @@ from .. import sinks
 from ..config import DEFAULT, Settings
 from ..functions import walks as wk
 from ..operators import extension, folding, graph, linkage, matching, quality, traversal
+from ..ship import ship
 from ..sources import files
 
 
@@ -32,6 +33,7 @@ def build(spark: SparkSession, gfa: str, out: str, snarls: DataFrame | None = No
 
 def get_anchors(spark: SparkSession, dictionary: str, alignments: str, fasta: str, out: str, settings: Settings = DEFAULT) -> DataFrame:
     """Anchors of reads: match, keep reliable snarls, extend and merge, prune repeats; every step's table is written."""
+    ship(spark)
     anchors, nodes, edges = (spark.read.parquet(f"{dictionary}/{t}") for t in ("anchors", "nodes", "edges"))
     lines, rejects = files.gaf(spark, alignments, settings)
     walked, unknown = files.with_lengths(lines, nodes)

@@ -15,6 +15,7 @@ from .functions import alignments as al
 from .functions import sequences as sq
 from .functions import walks as wk
 from .operators import graph, intervals, journeys, linkage, stats, traversal
+from .ship import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet").select(*cols)
 
 
