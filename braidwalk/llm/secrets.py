@@ -37,7 +37,7 @@ ALLOWED = (
     re.compile(r"[0-9/_=+-]+"),  # numbers and dates
     re.compile(r"[A-Za-z/_=+-]+"),  # words and paths of words
     re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy|abcdefghij|0123456789|xxxxx).*"),
-    re.compile(r"(/?[a-z0-9_]{1,19}){2,}/?"),  # paths of short parts
+    re.compile(r"/?[a-z0-9_]{1,19}(/[a-z0-9_]{1,19})+/?"),  # paths of short parts
     re.compile(r"[a-z0-9]{1,15}([-_][a-z0-9]{1,15})+"),  # slugs
 )
 #: c log2 c for counts within a window.
