@@ -39,19 +39,29 @@ MAX_BITS = 4
 CHUNK = 512
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles, repeats included (A-Z lower-cased; no words: 0)."""
+def shingle_hashes(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's word shingles in order, repeats included (A-Z lower-cased; no words: none)."""
     import xxhash
 
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    return np.array([hashed(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles, repeats included (A-Z lower-cased; no words: 0)."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
+def simhash(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 4096):
         bits = np.unpackbits(h[lo : lo + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)

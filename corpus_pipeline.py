@@ -27,11 +27,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the smallest id, once.
 
-    Word shingles of five; links at 4 of 64 bits or fewer, which texts far below a similarity of 0.8 do not reach.
+    Near: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, verified; SimHash at 4 of 64 bits and
+    minima of the sets propose the pairs.
     """
-    from braidwalk.llm.simhash import near_duplicate_groups
+    from braidwalk.llm.nearcopies import near_copy_rows
 
-    groups = near_duplicate_groups(docs, shingle=5)
+    rows = near_copy_rows(docs).select("doc_id", "_root")
+    groups = rows.join(rows.groupBy("_root").agg(F.min("doc_id").alias("component_id")), "_root")
     first = groups.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     again = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id").limit(1).count()
