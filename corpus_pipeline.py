@@ -25,19 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest id, once.
+    """One row of each group of near-duplicates stays: the smallest id (nulls last); ids may repeat or be null.
 
     Near: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, verified; SimHash at 4 of 64 bits and
     minima of the sets propose the pairs.
     """
     from braidwalk.llm.nearcopies import near_copy_rows
 
-    rows = near_copy_rows(docs).select("doc_id", "_root")
-    groups = rows.join(rows.groupBy("_root").agg(F.min("doc_id").alias("component_id")), "_root")
-    first = groups.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    again = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    rows = near_copy_rows(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row"))
+    kept = rows.groupBy("_root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,14 @@ def test_groups_against_brute_force(spark):
     assert 32 < len(kept) < 110
 
 
+def test_null_and_repeated_ids(spark):
+    """Texts near to none stay, whatever their ids; of copies one row stays."""
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (7, "m n o p q r"), (7, "s t u v w x"), (3, "1 2 3 4 5 6"), (3, "1 2 3 4 5 6"), (None, "1 2 3 4 5 6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, rows[:5]))
+
+
 def test_links_past_the_smallest_node(spark, monkeypatch):
     """All texts in one bucket, whose smallest node is near to none: the others still link."""
     rows = made_rows()[:8] + [(100 + i, f"x{i} y z w v u t s") for i in range(20)]
