@@ -24,17 +24,56 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def each_text(rows: DataFrame, work: Callable[[], Callable[[str], tuple]], fields: str, text: str = "text") -> DataFrame:
-    """Replace the column ``text`` by what ``work()(text)`` returns for each whole text (null: empty).
+#: Bytes of an Arrow batch sent to a task, so that long texts and nested rows stay in bounds.
+BATCH_BYTES = 8 << 20
 
-    ``work`` is called once per task and may hold bounded state.  Other columns of ``rows`` pass through.
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by size; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """(rest: a struct of all columns but ``text``, text, more): names of ``docs`` cannot clash with those an operator uses."""
+    bounded_batches(docs.sparkSession)
+    rest = [quoted(c) for c in docs.columns if c.lower() != "text"] or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*rest).alias("rest"), quoted("text").alias("text"), *more)
+
+
+def named_results(rows: DataFrame, results: list[str]) -> DataFrame:
+    """Unpack ``rest``; a column of the input with the name of a result gives way to it."""
+    taken = {r.lower() for r in results}
+    names = [f.name for f in rows.schema["rest"].dataType.fields if f.name.lower() not in taken]
+    return rows.select(*[F.col("rest")[n].alias(n) for n in names], *results)
+
+
+def each_text(rows: DataFrame, work: Callable[[], Callable[[str], tuple]], fields: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """What ``work()(text)`` returns for each whole text (null: empty) as columns, in place of ``text`` or beside it.
+
+    ``work`` is called once per task and may hold bounded state.  Other columns of ``rows`` pass through; one with the
+    name of a result (in any case of letters) gives way to it.
     """
     from pyspark.sql.types import StructType
 
+    bounded_batches(rows.sparkSession)
     added = StructType.fromDDL(fields)
-    keep = [f for f in rows.schema.fields if f.name != text]
+    taken = {f.name.lower() for f in added.fields} | (set() if keep_text else {text.lower()})
+    keep = [f for f in rows.schema.fields if f.name.lower() not in taken]
     schema = StructType(keep + added.fields)
-    names, extra = [f.name for f in keep], [f.name for f in added.fields]
+    extra = [f.name for f in added.fields]
+    names = [f.name for f in keep]
+    if text not in names:
+        rows = rows.select(*map(quoted, names), quoted(text))
+    else:
+        rows = rows.select(*map(quoted, names))
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -44,9 +83,9 @@ def each_text(rows: DataFrame, work: Callable[[], Callable[[str], tuple]], field
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                out = [one(x.as_py() or "") for x in part.column(text)]
+                out = [one(x.as_py() or "") for x in part.column(at)]
                 cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, names + extra)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + cols, names + extra)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,19 +2,23 @@
 
 A window is ``length`` consecutive words; the aim is every word covered by a window that starts anywhere else too.
 
-1. Partition.  A suffix belongs to the group of a short prefix chosen by its content: of the phrases of ``PHRASE`` words
-   in its first ``length`` words, the one of least hash.  Suffixes that share a window share that phrase, and neighbours
-   in a text mostly share it with each other, so they travel together as one segment of text.
-2. Prune.  Phrases are counted over all texts; a phrase that occurs once belongs to no repeated window.
-3. Trees.  A group of up to ``GROUP`` segments gets a suffix tree (suffixes sorted by their words; neighbours that agree
-   on a depth lie below one internal node of that depth).  The leaves below its nodes of depth ``length`` are repeated.
-   A group over ``GROUP`` is split by longer prefixes, all ``length`` words of them: such a group is one deep node, so
-   its leaves need only a pre-aggregated count.
+1. Partition.  Suffixes are split by prefixes of variable length: a suffix's prefix runs to the end of the phrase of least
+   hash among the phrases of ``PHRASE`` words in its first ``length`` words, so it has ``PHRASE`` to ``length`` words.
+   Suffixes that share a window share their prefix.  Prefixes that end in the same phrase make one group; neighbours in
+   a text mostly end in the same place and travel together as one segment of text.
+2. Prune.  Phrases are counted over all distinct texts; a phrase that occurs once belongs to no repeated window.
+3. Trees.  Groups of up to ``GROUP`` segments become subtrees: suffixes in order with the depth at which neighbours part,
+   which is the tree's internal nodes.  A node of depth ``length`` or more is a repeat that no word on the right extends;
+   all its leaves are repeated over the node's depth, and touching ranges of a text join to the maximal repeats.
+   A group over ``GROUP`` is split by lengthening the prefixes to all ``length`` words.  Such a prefix is itself one deep
+   node, so its leaves need a count (combined in the task, then shuffled) and a join back, salted by the group's size.
 
 Texts that are equal word for word are one text with a multiplicity (all their windows are repeated).  Null texts count
-as empty; texts of fewer than ``length`` words keep all; repeated rows are copies of each other; an empty table gives an
-empty result.  Words are compared as they are, so hash collisions cannot remove a word in step 3's trees; equality of
-longer prefixes and of whole texts is that of 128-bit hashes.
+as empty; texts of fewer than ``length`` words keep all; ids may be null or repeat (rows are told apart by id and text);
+repeated rows are copies of each other; an empty table gives an empty result.  Columns of the input pass through, but
+those with the name of a result column give way to it.  Long texts are hashed in stretches of ``STRETCH`` windows, and
+results leave the task in bounded batches.  Words are compared as they are, so hash collisions cannot remove a word in
+the trees; equality of whole-window prefixes and of whole texts is that of 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, stored
+from .common import each_text, named_results, packed, stored
 
-PHRASE, GROUP = 8, 256
+PHRASE, GROUP, STRETCH = 8, 256, 8192
+#: Suffixes sorted at a time (a group more than that is sorted alone); windows a salt of a split group.
+SORTED, SALTED = 8192, 4096
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -56,60 +62,85 @@ def text_key(joined: bytes) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (v >> 64, v & (1 << 64) - 1))
 
 
-def phrase_runs(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same phrase at the same place: (first window, windows, phrase hash)."""
-    n = len(words)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def phrase_runs(words: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows with the same phrase at the same place: (first window, windows, place, phrase hash), by stretch."""
     k = min(PHRASE, length)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _power(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        s, e = starts[: n - k + 1], ends[k - 1 :]
-        h = (total[e] - total[s]) * down[s]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    span, at = length - k + 1, []
-    for lo in range(0, n - length + 1, 16384):
-        part = np.lib.stride_tricks.sliding_window_view(h[lo : lo + 16384 + span - 1], span)
-        at.append(part.argmin(axis=1) + np.arange(lo, lo + len(part)))
-    at = np.concatenate(at)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.diff(np.concatenate([first, [len(at)]])), h[at[first]].view(np.int64)
+    span = length - k + 1
+    for lo in range(0, len(words) - length + 1, STRETCH):
+        part = words[lo : lo + STRETCH + length - 1]
+        n = len(part)
+        data = np.frombuffer(b" ".join(part), np.uint8)
+        up, down = _power(len(data) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, n) + 1) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            s, e = starts[: n - k + 1], ends[k - 1 :]
+            h = (total[e] - total[s]) * down[s]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        at = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1)
+        at += np.arange(len(at))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        yield lo + first, np.diff(np.concatenate([first, [len(at)]])), lo + at[first], h[at[first]].view(np.int64)
 
 
 class SuffixTree:
-    """Suffixes of several word lists, cut at ``depth`` words, in order of their words; internal nodes by agreement."""
-
-    def __init__(self, lists: list[tuple[list[bytes], int]], depth: int):
-        """``lists``: words and the number of suffixes that start at their beginning."""
-        self.leaves = sorted((w[i : i + depth], k, i) for k, (w, n) in enumerate(lists) for i in range(n))
-        self.depth = depth
-
-    def deep_leaves(self) -> Iterator[tuple[int, int]]:
-        """(list, start) of every leaf below an internal node at the full depth."""
-        leaves, deep = self.leaves, False
-        for a, b in zip(leaves, leaves[1:]):
-            same = a[0] == b[0]
-            if same or deep:
-                yield a[1:]
-            deep = same
-        if deep:
-            yield leaves[-1][1:]
-
-
-def _ranges(starts: list[int]) -> list[tuple[int, int]]:
-    """Sorted window starts as (first start, last start) of consecutive runs."""
+    """Suffixes of word lists in order, and the depth in words at which each parts from the next.
+
+    ``lists``: (group, words, number of suffixes from the front).  Lists of different groups share no node but the root.
+    ``leaves`` are (list, start) pairs; ``depth[i]`` is that of the deepest internal node over leaves i and i + 1.
+    """
+
+    def __init__(self, lists: list[tuple[int, list[bytes], int]]):
+        number: dict[bytes, int] = {}
+        width = max(len(w) for _, w, _ in lists)
+        rows, owner, start = [], [], []
+        for k, (group, words, n) in enumerate(lists):
+            coded = np.zeros(len(words) + width, ">u4")
+            coded[: len(words)] = [number.setdefault(w, len(number) + 1) for w in words]
+            m = np.empty((n, width + 1), ">u4")
+            m[:, 0] = group + 1
+            m[:, 1:] = np.lib.stride_tricks.sliding_window_view(coded, width)[:n]
+            rows.append(m), owner.append(np.full(n, k)), start.append(np.arange(n))
+        table = np.concatenate(rows)
+        order = np.argsort(table.view(f"S{4 * (width + 1)}").ravel(), kind="stable")
+        table = table[order]
+        self.owner, self.start = np.concatenate(owner)[order], np.concatenate(start)[order]
+        parts = table[1:] != table[:-1]
+        depth = np.where(parts.any(axis=1), parts.argmax(axis=1), width + 1) - 1
+        have = np.array([len(w) for _, w, _ in lists])[self.owner] - self.start
+        self.depth = np.clip(depth, 0, np.minimum(have[1:], have[:-1]))
+
+    def repeats(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, start, depth of the deepest node above) of every leaf below a node of depth ``least`` or more."""
+        zero = np.zeros(1, self.depth.dtype)
+        above = np.maximum(np.concatenate([zero, self.depth]), np.concatenate([self.depth, zero]))
+        at = np.flatnonzero(above >= least)
+        return self.owner[at], self.start[at], above[at]
+
+    def nodes(self, least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(depth, leaves) of every internal node of depth ``least`` or more, inner nodes before those around them."""
+        leaf = lambda lo, hi: list(zip(self.owner[lo : hi + 1].tolist(), self.start[lo : hi + 1].tolist()))
+        open_: list[tuple[int, int]] = []  # (depth, first leaf), depths ascending
+        for i, d in enumerate([*self.depth.tolist(), 0]):
+            lo = i
+            while open_ and open_[-1][0] > d:
+                depth, lo = open_.pop()
+                yield depth, leaf(lo, i)
+            if d >= least and (not open_ or open_[-1][0] < d):
+                open_.append((d, lo))
+
+
+def _joined(ranges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges of words, those that touch or overlap made one."""
     out: list[list[int]] = []
-    for s in starts:
-        if out and s == out[-1][1] + 1:
-            out[-1][1] = s
+    for lo, hi in ranges:
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            out.append([s, s])
+            out.append([lo, hi])
     return [tuple(x) for x in out]
 
 
@@ -117,8 +148,12 @@ def _profile(length: int):
     def work():
         def one(text: str):
             words = words_of(text)
-            first, _, h = phrase_runs(words, length)
-            return *text_key(b" ".join(words)), len(words), h
+            places, hashes, last = [], [], -1
+            for _, _, at, h in phrase_runs(words, length):
+                new = at > last  # a run cut by the end of a stretch counts once
+                places.append(at[new]), hashes.append(h[new])
+                last = at[-1]
+            return *text_key(b" ".join(words)), len(words), np.concatenate(hashes) if hashes else []
 
         return one
 
@@ -126,127 +161,150 @@ def _profile(length: int):
 
 
 def _segments(length: int):
-    """(text, wanted phrases with their counts) -> segments of text, or for large groups single windows' hashes."""
-    import xxhash
-
-    names = ["k1", "k2", "h", "at", "windows", "words", "w1", "w2"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    """(text, wanted phrases with their counts) -> segments of text, or for large groups whole-window prefixes."""
+    names = ["k1", "k2", "h", "n", "at", "windows", "words", "w1", "w2"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def rows_of(words: list[bytes], key: tuple[int, int], wanted: dict[int, int]) -> Iterator[tuple]:
+        for first, count, _, h in phrase_runs(words, length):
+            for f, c, x in zip(first.tolist(), count.tolist(), h.tolist()):
+                n = wanted.get(x)
+                if n is None:
+                    continue
+                if n <= GROUP:
+                    yield *key, x, n, f, c, b" ".join(words[f : f + c + length - 1]), None, None
+                else:
+                    for s in range(f, f + c):
+                        yield *key, None, n, s, 1, None, *text_key(b" ".join(words[s : s + length]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                words = words_of(batch.column("text")[i].as_py() or "")
+            for text, entries in zip(batch.column("text"), batch.column("wanted")):
+                words = words_of(text.as_py() or "")
                 key = text_key(b" ".join(words))
-                for entry in batch.column("wanted")[i].as_py():
-                    if (entry["k1"], entry["k2"]) != key:
-                        continue
-                    wanted = {x["h"]: x["n"] for x in entry["phrases"]}
-                    first, count, h = phrase_runs(words, length)
-                    for f, c, x in zip(first.tolist(), count.tolist(), h.tolist()):
-                        n = wanted.get(x)
-                        if n is None:
-                            continue
-                        if n <= GROUP:
-                            out.append((*key, x, f, c, b" ".join(words[f : f + c + length - 1]), None, None))
-                            continue
-                        for s in range(f, f + c):
-                            out.append((*key, None, s, 1, None, *text_key(b" ".join(words[s : s + length]))))
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                for entry in entries.as_py():
+                    if (entry["k1"], entry["k2"]) == key:
+                        for row in rows_of(words, key, {x["h"]: x["n"] for x in entry["phrases"]}):
+                            out.append(row)
+                            if len(out) == 2000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
 
 
 def _trees(length: int):
+    """Groups of segments -> ranges of repeated words; small groups share a sort, each with its own subtree."""
+
+    def found(pieces: list[tuple[int, dict]]) -> pa.RecordBatch:
+        tree = SuffixTree([(g, p["words"].split(b" "), p["windows"]) for g, p in pieces])
+        owner, start, depth = tree.repeats(length)
+        order = np.lexsort((start, owner))
+        out: list[tuple] = []
+        owner, start, depth = owner[order], start[order], depth[order]
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for o, s, d in zip(np.split(owner, cuts), np.split(start, cuts), np.split(depth, cuts)):
+            if len(o):
+                p = pieces[o[0]][1]
+                out += [(p["k1"], p["k2"], p["at"] + a, p["at"] + b) for a, b in _joined(zip(s.tolist(), (s + d).tolist()))]
+        cols = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["k1", "k2", "lo", "hi"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, dict]] = []
+        size = group = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                out: list[tuple] = []
-                for group in batch.column(0).slice(lo, 1000).to_pylist():
-                    tree = SuffixTree([(g["words"].split(b" "), g["windows"]) for g in group], length)
-                    found: dict[int, list[int]] = {}
-                    for k, i in tree.deep_leaves():
-                        found.setdefault(k, []).append(group[k]["at"] + i)
-                    out += [(group[k]["k1"], group[k]["k2"], a, b) for k, s in found.items() for a, b in _ranges(sorted(s))]
-                cols = zip(*out) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["k1", "k2", "lo", "hi"])
+            for g in batch.column(0):
+                pieces = g.as_py()
+                held += [(group, p) for p in pieces]
+                size, group = size + sum(p["windows"] for p in pieces), group + 1
+                if size >= SORTED:
+                    yield found(held)
+                    held, size, group = [], 0, 0
+        if held:
+            yield found(held)
 
     return run
 
 
 def _kept(length: int):
-    names = ["n_words", "n_removed", "kept_text"]
+    names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+
+    def one(text: str, marks: list | None) -> tuple:
+        words = words_of(text)
+        n, kept = len(words), words
+        if marks and n >= length:
+            key = text_key(b" ".join(words))
+            for m in marks:
+                if (m["k1"], m["k2"]) == key:
+                    kept, at = [], 0
+                    for lo, hi in [(0, n)] if m["copies"] > 1 else sorted((r["lo"], r["hi"]) for r in m["ranges"] or ()):
+                        kept += words[at : max(at, lo)]
+                        at = max(at, hi)
+                    kept += words[at:]
+                    break
+        joined = b" ".join(kept)
+        return n, n - len(kept), joined, hashlib.sha256(joined).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                out = []
-                for text, marks in zip(part.column("text"), part.column("marks")):
-                    words = words_of(text.as_py() or "")
-                    n, kept = len(words), words
-                    if marks.is_valid and n >= length:
-                        key = text_key(b" ".join(words))
-                        for m in marks.as_py():
-                            if (m["k1"], m["k2"]) != key:
-                                continue
-                            if m["copies"] > 1:
-                                kept = []
-                                break
-                            kept, at = [], 0
-                            for r in sorted((r["lo"], r["hi"]) for r in m["ranges"] or ()):
-                                kept += words[at : max(at, r[0])]
-                                at = max(at, r[1] + length)
-                            kept += words[at:]
-                            break
-                    joined = b" ".join(kept)
-                    out.append((n, n - len(kept), joined))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.binary()])]
-                rest = [f for f in part.schema.names if f not in ("text", "marks")]
-                sha = pa.array([hashlib.sha256(x[2]).hexdigest() for x in out])
-                yield pa.RecordBatch.from_arrays([part.column(r) for r in rest] + cols[:2] + [cols[2].cast(pa.string()), sha], rest + names + ["kept_sha256"])
+                out = [one(t.as_py() or "", m.as_py()) for t, m in zip(part.column("text"), part.column("marks"))]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.binary(), pa.string()])]
+                yield pa.RecordBatch.from_arrays([part.column("rest"), *cols[:2], cols[2].cast(pa.string()), cols[3]], ["rest", *names])
 
     return run
 
 
-def row_id():
-    """doc_id as a join key: a null id is one id too."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def _row_key(length: int) -> tuple[Column, Column]:
+    """Id and text hash: what tells rows apart; texts too short for a window get keys of their own, which match nothing."""
+    short = F.coalesce(F.length("text"), F.lit(0)) < 2 * length - 1
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.when(short, F.monotonically_increasing_id()), F.when(~short, F.col("text"))).alias("th")
+
+
+def _marks(rows: DataFrame, length: int) -> DataFrame:
+    """(id, th, marks: for each text of that key k1, k2, copies, ranges of repeated words) of rows with any."""
+    key = ["k1", "k2"]
+    able = rows.filter(F.length("text") >= 2 * length - 1)
+    profile = stored(each_text(able, _profile(length), "k1 long, k2 long, n_words int, phrases array<long>").filter(F.col("n_words") >= length))
+    texts = profile.groupBy(*key).agg(F.min(F.struct("id", "th")).alias("row"), F.count("*").alias("copies"), F.first("phrases").alias("phrases"))
+    texts = stored(texts.select("row.id", "row.th", *key, "copies", "phrases"))
+    seen = texts.select("id", "th", *key, F.explode("phrases").alias("h"))
+    often = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    wanted = seen.join(often, "h").groupBy("id", "th", *key).agg(F.collect_set(F.struct("h", "n")).alias("phrases"))
+    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*key, "phrases")).alias("wanted"))
+    fields = "k1 long, k2 long, h long, n long, at int, windows int, words binary, w1 long, w2 long"
+    pieces = stored(able.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_segments(length), fields))
+
+    groups = pieces.filter("h is not null").select("h", F.struct(*key, "at", "windows", "words").alias("p"))
+    groups = groups.groupBy("h").agg(F.collect_list("p").alias("g")).filter(F.size("g") > 1)  # GROUP segments at most
+    found = groups.select("g").mapInArrow(_trees(length), "k1 long, k2 long, lo int, hi int")
 
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    whole = pieces.filter("w1 is not null").select(*key, "at", "w1", "w2", "n")
+    deep = whole.groupBy("w1", "w2").agg(F.count("*").alias("leaves"), F.max("n").alias("n")).filter("leaves > 1")
+    deep = deep.select("w1", "w2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    leaves = whole.select(*key, "at", "w1", "w2", F.pmod(F.xxhash64(*key), salts).cast("int").alias("salt")).join(deep, ["w1", "w2", "salt"])
+    found = found.unionByName(leaves.select(*key, F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
 
-def repeated_windows(docs: DataFrame, length: int = 35) -> DataFrame:
-    """(doc_id, marks: for each text of that id k1, k2, copies, ranges of repeated window starts) of documents with any."""
-    rows = docs.select(row_id().alias("doc_id"), "text").filter("text is not null")
-    profile = stored(each_text(rows, _profile(length), "k1 long, k2 long, n_words int, phrases array<long>").filter(F.col("n_words") >= length))
-    texts = profile.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("phrases").alias("phrases"))
-    seen = texts.select("doc_id", "k1", "k2", F.explode("phrases").alias("h"))
-    often = seen.groupBy("h").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
-    wanted = seen.join(often, "h").groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("h", "n")).alias("phrases"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "phrases")).alias("wanted"))
-    fields = "k1 long, k2 long, h long, at int, windows int, words binary, w1 long, w2 long"
-    pieces = stored(rows.join(wanted, "doc_id").mapInArrow(_segments(length), fields))
-    groups = pieces.filter("h is not null").groupBy("h").agg(F.collect_list(F.struct("k1", "k2", "at", "windows", "words")).alias("g")).filter(F.size("g") > 1)
-    found = groups.select("g").mapInArrow(_trees(length), "k1 long, k2 long, lo int, hi int")
-    single = pieces.filter("w1 is not null").select("k1", "k2", "at", "w1", "w2")
-    deep = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    found = found.unionByName(single.join(deep, ["w1", "w2"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    ranges = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    several = texts.filter("copies > 1").select("k1", "k2", "copies")
-    alone = texts.filter("copies = 1").select("k1", "k2", "copies", "doc_id").join(ranges, ["k1", "k2"]).select("doc_id", "k1", "k2", "copies", "ranges")
-    copies = profile.select("doc_id", "k1", "k2").join(several, ["k1", "k2"]).select("doc_id", "k1", "k2", "copies", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
-    return alone.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "copies", "ranges")).alias("marks"))
+    ranges = found.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    alone = texts.filter("copies = 1").select("id", "th", *key, "copies").join(ranges, key).select("id", "th", F.struct(*key, "copies", "ranges").alias("m"))
+    several = texts.filter("copies > 1").select(*key, "copies")
+    copies = profile.select("id", "th", *key).join(several, key).select("id", "th", F.struct(*key, "copies", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")).alias("m"))
+    return alone.unionByName(copies.groupBy("id", "th").agg(F.first("m").alias("m"))).groupBy("id", "th").agg(F.collect_list("m").alias("marks"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = 35) -> DataFrame:
-    """Columns of ``docs`` but ``text``, and n_words, n_removed, kept_text, kept_sha256."""
-    marks = repeated_windows(docs, length)
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    out = docs.withColumn("_id", row_id()).join(marks.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*docs.columns, "marks")
-    from pyspark.sql.types import StructType
-
-    schema = StructType(rest + StructType.fromDDL("n_words long, n_removed long, kept_text string, kept_sha256 string").fields)
-    return out.mapInArrow(_kept(length), schema)
+    """Columns of ``docs`` (doc_id, text) but ``text``, and n_words, n_removed, kept_text, kept_sha256."""
+    from pyspark.sql.types import StructField, StructType
+
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id")).select("rest", "text", *_row_key(length))
+    marks = _marks(rows.select("id", "th", "text"), length)
+    out = rows.join(marks, ["id", "th"], "left").select("rest", "text", "marks")
+    added = StructType.fromDDL("n_words long, n_removed long, kept_text string, kept_sha256 string")
+    schema = StructType([StructField("rest", out.schema["rest"].dataType), *added.fields])
+    return named_results(out.mapInArrow(_kept(length), schema), added.names)
