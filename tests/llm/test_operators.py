@@ -80,9 +80,9 @@ def test_secrets(docs, empty):
     assert [x[2] for x in secrets.spans(key)[1]] == ["entropy_alnum"]
     assert not secrets.spans("id 123e4567-e89b-12d3-a456-426614174000 see some-long-slug-of-many-words-1")[1]
     assert secrets.redacted(f"a {key[2:]} b") == "a [secret] b"
-    got = secrets.scan_documents(docs.select("doc_id", "text")).collect()
+    got = secrets.scan_documents(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_hex"]) for r in got) == sorted((str(i), secrets.digest(t or "")[2]) for i, t in rows_of(docs))
-    assert secrets.scan_documents(empty.select("doc_id", "text")).count() == 0
+    assert secrets.scan_documents(empty).count() == 0
     assert secrets.redact_documents(docs).filter("text is null").count() == docs.filter("text is null").count()
 
 
@@ -91,13 +91,13 @@ def test_bpe_against_the_library(docs, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    got = bpe.encode_documents(docs.select("doc_id", "text"), path, with_ids=True).collect()
+    got = bpe.encode_documents(docs, path, with_ids=True).collect()
     want = []
     for i, x in rows_of(docs):
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.append((str(i), ids, hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted((str(r["doc_id"]), list(r["token_ids"]), r["decoded_sha256"]) for r in got) == sorted(want)
-    assert bpe.encode_documents(empty.select("doc_id", "text"), path).count() == 0
+    assert bpe.encode_documents(empty, path).count() == 0
     codec = bpe.Codec(path)
     rng = random.Random(1)
     odd = ["<|endoftext|>", "<|", "Σ", "ΑΣ", "İ", "é", "'LL", "'s", "٣", "漢字", "🙂", "\x1c", "　", "ß", "!!", " ", "the", "in", "\0"]
@@ -128,9 +128,9 @@ def test_token_counts(docs, empty):
             best.append(max(options))
         return -best[-1][1]
 
-    got = sorted((str(r["doc_id"]), r["n_words"], r["n_tokens"]) for r in tokencount.count_documents(docs.select("doc_id", "text"), path).collect())
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_tokens"]) for r in tokencount.count_documents(docs, path).collect())
     assert got == sorted((str(i), len((t or "").split()), sum(brute(tokencount.MARK + w) for w in (t or "").split())) for i, t in rows_of(docs))
-    assert tokencount.count_documents(empty.select("doc_id", "text"), path).count() == 0
+    assert tokencount.count_documents(empty, path).count() == 0
 
 
 def test_simhash(docs, empty):
@@ -172,7 +172,7 @@ def test_simhash_chunks(spark, monkeypatch):
     assert all(got.get(x, x) == order[r] for x, r in zip(order, root))
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [256, 8, 1])
 def test_substrings(docs, empty, monkeypatch, group):
     monkeypatch.setattr(substring, "GROUP", group)
     rows = rows_of(docs)
@@ -186,9 +186,9 @@ def test_substrings(docs, empty, monkeypatch, group):
                 gone |= set(range(k, k + 35))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((str(i), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    got = substring.dedup_substrings(docs.select("doc_id", "text")).collect()
+    got = substring.dedup_substrings(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
-    assert any(x[2] for x in want) and substring.dedup_substrings(empty.select("doc_id", "text")).count() == 0
+    assert any(x[2] for x in want) and substring.dedup_substrings(empty).count() == 0
 
 
 def test_vectors(spark):
@@ -226,7 +226,7 @@ def test_languages(spark, docs, empty):
     big = "kalomi tukalo " * 100_000
     assert c.predict(big)[0] == "xx"
     none = langid.learn_profiles(empty.select("text", "lang"))
-    assert {r["lang_pred"] for r in langid.predict_documents(docs.select("doc_id", "text"), none).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.predict_documents(docs, none).collect()} == {"und"}
 
 
 def test_toxicity(spark, docs, empty):
@@ -251,9 +251,9 @@ def test_toxicity(spark, docs, empty):
     clean = " ".join(WORDS)
     assert abs(model.score(clean + " muslims") - model.score(clean + " christians")) < 0.05 and model.score(clean + " muslims") < 0.5
     assert toxicity.train(frame, y.limit(0)) is None
-    got = toxicity.score_documents(docs.select("doc_id", "text"), model).collect()
+    got = toxicity.score_documents(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert {r["score"] for r in toxicity.score_documents(docs.select("doc_id", "text"), None).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score_documents(docs, None).collect()} == {0.0}
 
 
 def test_decontamination(spark, docs, empty):
@@ -283,13 +283,36 @@ def test_decontamination(spark, docs, empty):
     assert decontam.lcs(a, b) == table[40][50]
 
 
+def unfolded_scores(model, text):
+    """log10 p(ids) of each word and the end, one id at a time from the layer's own parameters."""
+    p, v, sp = {k: x.astype(float) for k, x in model.net.p.items()}, model.vocabulary, model.spelling
+    words = [v.spelled(w) for w in lmscore.words_of(text)] + [[v.end]]
+    ids = [i for w in words for i in w]
+    before = [x for w in words for x in [-1, *w[:-1]]]
+    rows = [0, *(int(model.input[i]) for i in ids[:-1])]
+    out = []
+    for t, i in enumerate(ids):
+        window = max(0, -(-(t + 1 - lmscore.WINDOW) // lmscore.STRIDE))
+        lo = window * lmscore.STRIDE
+        x = np.array([p["E"][r] + p["P"][k] for k, r in enumerate(rows[lo : t + 1])])
+        a = np.array([(x[-1] @ p["q"]) @ (y @ p["k"]) / math.sqrt(lmscore.WIDTH) for y in x])
+        a = np.exp(a - a.max())
+        z = (x[-1] + (a / a.sum()) @ (x @ p["v"])) @ p["c"] + p["b"]
+        k = sp.of[i]
+        place = z[k] - z.max() - math.log(np.exp(z - z.max()).sum())
+        out.append(place / math.log(10) + (0.0 if i == v.end else float(sp.inside(np.array([before[t]]), np.array([i]))[0])))
+    cuts = np.cumsum([0, *map(len, words)])
+    return [sum(out[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 @pytest.mark.parametrize("words", [1 << 18, 5])
 def test_language_model(docs, empty, monkeypatch, words):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    monkeypatch.setattr(lmscore.frequent_words, "__defaults__", (words,))
+    monkeypatch.setattr(lmscore, "WORDS", words)
     monkeypatch.setattr(lmscore, "STEPS", 5)
+    monkeypatch.setattr(lmscore, "OTHERS", 7)
     held = common.remainder("doc_id", 10) == 0
-    frame = docs.select("doc_id", "text").withColumns({"held_out": held, "learn": ~held})
+    frame = docs.withColumn("learn", ~held)
     rows = rows_of(docs)
     count = collections.Counter()
     for i, t in rows:
@@ -297,15 +320,35 @@ def test_language_model(docs, empty, monkeypatch, words):
             count.update((t or "").encode().lower().split())
             count[None] += 1
     total, distinct = sum(count.values()), len(count)
+    packed = common.packed(frame, common.F.col("learn").alias("learn"), common.F.xxhash64("doc_id", "text").alias("u"))
+    by = lmscore.learned(packed.filter("learn"), path)
     want = []
     for i, t in rows:
         w = [*(t or "").encode().lower().split(), None]
-        want.append((str(i), len(w), sum(count[x] > 0 for x in w), total, round(sum(math.log10((count[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 6)))
-    got = lmscore.score_documents(frame, "learn", path).collect()
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    none = lmscore.score_documents(empty.select("doc_id", "text").withColumn("learn", held), "learn", path)
-    assert none.count() == 0
+        base = sum(math.log10((count[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
+        ids = unfolded_scores(by.model, t or "")
+        score = sum(math.log10((1 - lmscore.MIX) * 10**p + lmscore.MIX * count[x] / total) for x, p in zip(w, ids))
+        want.append((str(i), len(w), sum(count[x] > 0 for x in w), total, base, score))
+    got = lmscore.scores(packed.select("rest", "text"), by).collect()
+    assert "lang" in got[0] and "learn" in got[0]  # other columns stay; the one named score gives way
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    for g, w in zip(got, sorted(want)):
+        assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-6 * max(1, -w[4]) and abs(g[5] - w[5]) < 1e-3 * max(1, -w[5])
+    assert lmscore.score_documents(empty.withColumn("learn", held), "learn", path).count() == 0
+    untrained = lmscore.score_documents(docs.withColumn("learn", held & False), "learn", path).collect()
+    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) and r["score"] < 0 for r in untrained)
+
+
+def test_spelling_sums_to_one():
+    rng = np.random.default_rng(3)
+    counts = np.append(rng.integers(0, 50, 3000) * (rng.random(3000) < 0.9), 40).astype(float)
+    prev, ids = rng.integers(-1, 3000, 20000), rng.integers(0, 3000, 20000)
+    s = lmscore.Spelling(counts, prev, ids, rng.integers(1, 9, 20000).astype(float), rng)
+    every = np.arange(3001)
+    for before in (-1, 5, int(s.top[0]), int(np.argmin(counts))):
+        p = 10.0 ** s.inside(np.full(3001, before), every)
+        mass = np.bincount(s.of, p, lmscore.CLASSES)
+        assert np.allclose(mass[np.unique(s.of)], 1, atol=1e-3)
 
 
 def test_attention_gradients_and_windows():
@@ -327,7 +370,9 @@ def test_attention_gradients_and_windows():
         net.p[k][i] = old
         assert abs((up - down) / 2e-5 - g[k][i]) < 1e-6, k
     m = lmscore.Model.__new__(lmscore.Model)
-    m.input, m.of = np.arange(1, 1001), np.arange(1000) % 5
+    m.input = np.arange(1, 1001)
+    m.spelling = lmscore.Spelling.__new__(lmscore.Spelling)
+    m.spelling.of = np.arange(1000) % 5
     for n in (1, 5, 31, 32, 33, 56, 57, 200):
         _, _, used = m.windows(np.arange(n))
         at = np.arange(len(used))[:, None] * lmscore.STRIDE + np.arange(lmscore.WINDOW)
