@@ -109,9 +109,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, spark: SparkSession) -> int:
-    """Number of shuffle partitions in force."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: A key with over 1 / HOT of all rows is hot; there are fewer than HOT such keys, whatever the size of the table.
+HOT = 1000
+
+
+def skew_join(rows: DataFrame, by: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``by`` (stored; one row a key, ``n``: the number of its rows), without its column ``n``.
+
+    Hot keys are joined by a broadcast of their fewer than ``HOT`` rows of ``by``; all others by a shuffle.
+    """
+    total = by.agg(F.sum(n)).first()[0] or 0
+    hot = by.filter(F.col(n) * HOT > total)
+    plain = by.drop(n)
+    if not hot.limit(1).count():
+        return rows.join(plain, key)
+    here = rows.join(F.broadcast(hot.drop(n)), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(plain, key)
+    return here.unionByName(rest)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,12 +12,13 @@ fingerprints at most 4 bits apart fall on the segments in one of two ways:
 
 Fingerprints in reach share a key; keys are long enough that others rarely do.  Buckets are verified exactly.
 
-Keys of one fingerprint drop out by a count; buckets over ``CHUNK`` distinct fingerprints are cut into chunks and every
-pair of chunks is a unit of work, so no bucket has a cap and none lands in one task.  A unit emits a spanning
-forest of its links, never all pairs.
+Keys are shuffled once and stream through the task in order; buckets over ``CHUNK`` distinct fingerprints are cut into
+chunks and every pair of chunks is a unit of work, so no bucket has a cap and none is compared in one task.  A unit emits
+a spanning forest of its links, never all pairs.
 
 Equal fingerprints (copies, and all texts without words: fingerprint 0) are one node.  Null texts count as empty, rows
-that repeat stay rows.  An empty table gives an empty result.
+that repeat stay rows, ids may be null (a group's id is its smallest that is not).  An empty table gives an empty result;
+only ``doc_id`` and ``text`` of the input are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, each_text, stored
+from .common import components, each_text, skew_join, stored
 
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
@@ -158,17 +159,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp) sorted by key -> links (a, b) of buckets up to ``CHUNK``; rows (key, fp) of larger ones, as they come."""
+    none = np.zeros(0, np.int64)
+    held_key, held, large = None, none, False
+
+    def out(a, b, key=None, fp=none):
+        n, m = len(a), len(fp)
+        cols = [np.concatenate([a, np.zeros(m, np.int64)]), np.concatenate([b, np.zeros(m, np.int64)]), np.concatenate([np.zeros(n, np.int64), np.full(m, key or 0)]), np.concatenate([np.zeros(n, np.int64), fp])]
+        flag = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flag)], ["a", "b", "key", "fp", "large"])
+
+    def forest(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        pairs = np.array(linked(v.view(np.uint64)) if len(v) > 1 else [], np.int64).reshape(-1, 2)
+        return [(v[pairs[:, 0]], v[pairs[:, 1]])] if len(pairs) else []
+
+    for batch in batches:
+        keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(keys):
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        several = np.diff(cuts) > 1  # most are alone in their bucket; the first and the last may go on in other batches
+        several[[0, -1]] = True
+        links_: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist()):
+            v, key = fps[lo:hi], int(keys[lo])
+            if key != held_key:
+                links_ += forest(held)
+                held_key, held, large = key, none, False
+            if large:
+                yield out(none, none, key, v)
+                continue
+            held = np.concatenate([held, v])
+            if len(held) > CHUNK:
+                yield out(none, none, key, held)
+                held, large = none, True
+        if links_:
+            yield out(*(np.concatenate(x) for x in zip(*links_)))
+    for a, b in forest(held):
+        yield out(a, b)
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fp`` (long) that span every component of those <= 4 bits apart."""
-    # one exchange of the keys serves both the count and the join back
-    keyed = fps.select("fp").mapInArrow(_emit_keys, "key long, fp long").repartition("key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = keyed.join(shared.hint("merge"), "key").withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
-    parts = parts.withColumn("c", F.when(F.col("m") > 1, F.pmod(F.xxhash64("fp"), F.col("m"))).otherwise(0).cast("int"))
+    """Links (a, b) among distinct fingerprints ``fp`` (long) that span every component of those <= 4 bits apart.
+
+    The keys are made once and shuffled once: sorted by key, buckets stream through the task.  Buckets over ``CHUNK``
+    leave it again and are compared chunk by chunk, every pair of chunks a unit of work.
+    """
+    spread_ = fps.select("fp").repartition("fp")  # few bytes a row become many: deal them out first
+    keyed = spread_.mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    found = stored(keyed.mapInArrow(_buckets, "a long, b long, key long, fp long, large boolean"))
+    big = found.filter("large").select("key", "fp")
+    sizes = big.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
+    parts = big.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     others = F.when(F.col("m") > 1, F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda o: o != F.col("c"))).otherwise(F.array(F.lit(0)))
     units = parts.withColumn("o", F.explode(others)).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     units = units.repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("fp").alias("fps"))
-    return units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long").distinct()
+    across = units.select("fps").filter(F.size("fps") > 1).mapInArrow(_verify, "a long, b long")
+    return found.filter("not large").select("a", "b").unionByName(across).distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -184,12 +232,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp, component_id: smallest doc_id reachable over links) for each row of ``docs`` (doc_id, text)."""
     rows = stored(fingerprints(docs.select("doc_id", "text"), shingle))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     joined = components(links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    named = distinct.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    named = stored(distinct.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    roots = stored(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    by_fp = stored(skew_join(named.select("fp", "n", "root"), roots, "root", "members").select("fp", "n", "component_id"))
+    return skew_join(rows, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(c: str):
