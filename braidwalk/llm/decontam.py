@@ -1,19 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequence and answer checks.
 
-The benchmark's texts are cut into passages of at most ``PASSAGE`` words.  Their TF-IDF matrix (document frequencies
-counted over all documents) is reduced by a randomised SVD: sums of A'(A X) over distributed row blocks, a few power
-steps, and the Gram matrix of the projected rows.  Every document is cut into blocks of ``BLOCK`` words; at each block
-windows of 2, 3 and 5 blocks start, and each passage meets the windows that hold it whole at any offset.  Windows are
-folded into the latent space; those with cosine >= ``COSINE`` to a passage are candidates.
+The benchmark's texts are cut into passages of at most ``PASSAGE`` words, taken ``QUERIES`` at a time.  Their TF-IDF
+matrices (document frequencies counted over all documents, one pass) are reduced from the vocabulary to at most ``LATENT``
+dimensions by a randomised SVD: sums of A'(A X) over distributed rows, a few power steps, and the Gram matrix of the
+projected rows.  A second pass searches up to ``SPACES`` such latent spaces at once: a document is cut into blocks of
+``BLOCK`` words; at each block windows of 2, 3 and 5 blocks start, and each passage meets the windows that hold it whole
+at any offset.  Windows are folded into the latent space; those with cosine >= ``COSINE`` to a passage are candidates.
 
 A candidate is a leak if the longest common subsequence of passage and window (a block wider on both sides) covers
-``COPY`` of the passage's words, or ``PARAPHRASE`` of them while the answer - the item's last sentence - is covered by
-``ANSWER`` too (a passage without words of the answer needs ``COPY``).
-
-The benchmark is the query set: it is taken in blocks of ``QUERIES`` passages, each a model of bounded size and a pass
-over all documents.  Words are lower-case runs of letters and digits.  Null texts have no words; items of fewer than
-``LEAST`` words identify nothing and have no leaks; an empty benchmark or table gives an empty result; repeated rows of
-documents give repeated results, items that repeat an id and text count once.
+``COPY`` of the passage's words (``LONG_COPY`` where it has ``LONG`` words or more), or ``PARAPHRASE`` of them while the
+answer - the item's last sentence - is covered by ``ANSWER`` too (a passage without words of the answer needs the former).
+Passages under ``LEAST`` words say too little for that: they leak where they stand word for word.
+
+Words are lower-case runs of letters and digits.  The vocabulary and the passages of the benchmark are held whole, the
+latent spaces ``SPACES`` at a time (a pass each), so nothing held grows with the documents; documents meet them a stretch of ``STRETCH`` words at a time, which overlap by
+the widest window, so long texts need no more memory.  Null texts have no words and no leaks; an empty benchmark or table
+gives an empty result; repeated rows of documents give repeated results, null ids stay null; items that repeat an id and
+text count once.  Of several leaks of an item in a text the best stays: by share, then cosine, then the first.  Columns of
+the input pass through, but those with the name of a result give way to it.
 """
 
 from __future__ import annotations
@@ -26,15 +30,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named_results, packed, stored
 
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
-PASSAGE, BLOCK, LEAST, QUERIES = 64, 16, 5, 256
+PASSAGE, BLOCK, LEAST, STRETCH = 64, 16, 5, 8192
+QUERIES, SPACES = 256, 16
 LATENT, OVERSAMPLE, POWER = 256, 8, 3
 DENSE = 96
 COSINE, COPY, PARAPHRASE, ANSWER = 0.6, 0.75, 0.5, 0.5
+LONG, LONG_COPY = 16, 0.5
 #: Blocks of a window: a passage of up to 17, 33 or 65 words lies whole in some window of so many blocks.
 SCALES = (2, 3, 5)
+#: Latin-1 bytes to lower-case word characters or spaces.
+_LATIN = bytes(ord(chr(i).lower()) if WORD.match(chr(i)) else 32 for i in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -53,10 +68,10 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 def passages_of(text: str) -> list[tuple[list[str], list[str]]]:
     """(words, words of the answer in it) of each passage of an item."""
-    words = WORD.findall(text.lower())
-    if len(words) < LEAST:
+    words = words_of(text)
+    if not words:
         return []
-    ends = [s for s in map(WORD.findall, SENTENCE.findall(text.lower())) if len(s) >= 3]
+    ends = [s for s in map(words_of, SENTENCE.findall(text)) if len(s) >= 3]
     last = len(ends[-1]) if len(ends) > 1 else (len(words) + 2) // 3
     from_ = len(words) - last
     n = -(-len(words) // PASSAGE)
@@ -65,40 +80,84 @@ def passages_of(text: str) -> list[tuple[list[str], list[str]]]:
 
 
 class Queries:
-    """A block of passages: vocabulary, word numbers, and after ``place`` the latent weights."""
+    """All passages of the benchmark, their words by number (from 1; 0: no word of these)."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: Iterator[tuple[int, str]]):
         self.items, self.words, self.answers = [], [], []
         self.number: dict[str, int] = {}
         for item, text in rows:
             for words, answer in passages_of(text):
                 self.items.append(item)
-                self.words.append([self.number.setdefault(w, len(self.number) + 1) for w in words])  # 0: no word of these
+                self.words.append([self.number.setdefault(w, len(self.number) + 1) for w in words])
                 self.answers.append([self.number[w] for w in answer])
-
-    def place(self, idf: np.ndarray, directions: np.ndarray) -> None:
-        self.weights = np.zeros((len(self.number) + 1, directions.shape[1]), np.float32)
-        self.weights[1:] = idf[:, None] * directions
-        top = np.argsort(idf, kind="stable")[:DENSE]
-        self.rank = np.full(len(self.number) + 1, -1)
+        self.short = [(i, np.array(w)) for i, w in enumerate(self.words) if len(w) < LEAST]
+        long_ = [i for i, w in enumerate(self.words) if len(w) >= LEAST]
+        self.parts = [long_[lo : lo + QUERIES] for lo in range(0, len(long_), QUERIES)]
+
+
+class Space:
+    """The latent space of some passages: their own vocabulary, and after ``place`` weights and latent passages."""
+
+    def __init__(self, q: Queries, members: list[int], counts: np.ndarray):
+        self.words = [np.array(q.words[i]) for i in members]
+        self.members, self.size = np.array(members), len(q.number) + 1
+        terms = np.unique(np.concatenate(self.words))
+        self.terms, self.idf = terms, np.log((counts[0] + 1) / (counts[terms] + 1)) + 1e-3
+        self.rows = [np.searchsorted(terms, w).tolist() for w in self.words]
+
+    def place(self, directions: np.ndarray) -> None:
+        weights = np.zeros((len(self.terms) + 1, directions.shape[1]), np.float32)
+        weights[1:] = self.idf[:, None] * directions
+        self.local = np.zeros(self.size, np.int32)
+        self.local[self.terms] = 1 + np.arange(len(self.terms))
+        top = np.argsort(self.idf, kind="stable")[:DENSE]
+        self.rank = np.full(len(weights), -1)
         self.rank[1 + top] = np.arange(len(top))
         self.dense = np.zeros((DENSE, directions.shape[1]), np.float32)
-        self.dense[: len(top)] = self.weights[1 + top]
-        self.scale = np.array([next(s for s in SCALES if len(w) <= (s - 1) * BLOCK + 1) for w in self.words])
-        q = np.array([self.weights[w].sum(axis=0) for w in self.words])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        self.groups = [(s, np.flatnonzero(self.scale == s)) for s in SCALES]
-        self.groups = [(s, i, np.ascontiguousarray(q[i].T)) for s, i in self.groups if len(i)]
+        self.dense[: len(top)] = weights[1 + top]
+        scale = np.array([next(s for s in SCALES if len(w) <= (s - 1) * BLOCK + 1) for w in self.words])
+        latent = np.array([weights[self.local[w]].sum(axis=0) for w in self.words])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.weights = weights
+        self.groups = [(s, self.members[scale == s], np.ascontiguousarray(latent[scale == s].T)) for s in SCALES if (scale == s).any()]
+
+    def candidates(self, flat: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(first block, blocks, passage, cosine) of windows near a passage; ``flat``: word numbers, whole blocks."""
+        ids = self.local[flat]
+        known = np.flatnonzero(ids)
+        if not len(known):
+            return
+        blocks = np.zeros((len(flat) // BLOCK, self.weights.shape[1]), np.float32)
+        # terms that documents use most are counted by block and multiplied; the others' rows are gathered
+        b, rank = known // BLOCK, self.rank[ids[known]]
+        often = rank >= 0
+        counts = np.bincount(b[often] * DENSE + rank[often], minlength=len(blocks) * DENSE).reshape(-1, DENSE)
+        np.matmul(counts.astype(np.float32), self.dense, out=blocks)
+        known, b = known[~often], b[~often]
+        if len(known):
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            blocks[b[first]] += np.add.reduceat(self.weights[ids[known]], first, axis=0)
+        window, width = blocks, 1
+        for scale, members, latent in self.groups:  # by growing scale
+            n = len(blocks) - scale + 1
+            window = window[:n].copy()
+            for k in range(width, scale):
+                window += blocks[k : k + n]
+            width = scale
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-6)
+            cosine = window @ latent / norm[:, None]
+            for w, j in zip(*np.nonzero(cosine >= COSINE)):
+                yield int(w), scale, int(members[j]), float(cosine[w, j])
+
+
+def _frequencies(number: dict[str, int]):
+    """Number of documents with each word, and of documents (0)."""
 
-
-def _frequencies(q: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total, docs = q.number.get, np.zeros(len(q.number) + 1, np.int64), 0
+        known, total, docs = number.keys(), np.zeros(len(number) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                seen = {get(w) for w in set(WORD.findall((text.as_py() or "").lower()))}
-                seen.discard(None)
-                total[list(seen)] += 1
+                total[[number[w] for w in known & set(words_of(text.as_py() or ""))]] += 1
                 docs += 1
         total[0] = docs
         at = np.flatnonzero(total)
@@ -107,140 +166,169 @@ def _frequencies(q: Queries):
     return run
 
 
-def _row_sums(idf: np.ndarray, x: np.ndarray, gram: bool):
-    """Sums over row blocks of A'(A x), or of (A x)'(A x)."""
+def _row_sums(idf: list[np.ndarray], x: list[np.ndarray], gram: bool):
+    """By space, sums over rows of A'(A x), or of (A x)'(A x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((x.shape[1], x.shape[1]) if gram else x.shape)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                t, c = np.unique(np.array(ids) - 1, return_counts=True)
-                a = c * idf[t]
-                y = a @ x[t]
+            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t, c = np.unique(np.array(ids), return_counts=True)
+                a = c * idf[k][t]
+                y = a @ x[k][t]
+                if k not in total:
+                    total[k] = np.zeros((len(y), len(y)) if gram else x[k].shape)
                 if gram:
-                    total += np.outer(y, y)
+                    total[k] += np.outer(y, y)
                 else:
-                    total[t] += np.outer(a, y)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["r", "x"])
+                    total[k][t] += np.outer(a, y)
+        for k, m in total.items():
+            used = np.flatnonzero(m.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(used)), pa.array(used), pa.array(m[used].tolist(), pa.list_(pa.float64()))], ["k", "r", "x"])
 
     return run
 
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = LATENT) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the TF-IDF rows (ids: array of term numbers from 1)."""
+def randomised_svd(rows: DataFrame, idf: list[np.ndarray], rank: int = LATENT) -> list[np.ndarray]:
+    """By space, the leading right singular vectors (terms x rank) of the TF-IDF rows (k, ids: array of term numbers)."""
 
-    def summed(x: np.ndarray, gram: bool) -> np.ndarray:
-        out = np.zeros((x.shape[1] if gram else len(idf), x.shape[1]))
-        for r, v in rows.select("ids").mapInArrow(_row_sums(idf, x, gram), "r long, x array<double>").collect():
-            out[r] += v  # a block's tasks return one row a term of theirs: PASSAGE * QUERIES rows at most
+    def summed(x: list[np.ndarray], gram: bool) -> list[np.ndarray]:
+        out = [np.zeros((m.shape[1] if gram else len(m), m.shape[1])) for m in x]
+        for k, r, v in rows.select("k", "ids").mapInArrow(_row_sums(idf, x, gram), "k long, r long, x array<double>").collect():
+            out[k][r] += v  # a task returns a row a term of its passages: PASSAGE * QUERIES rows a space at most
         return out
 
-    width = min(rank + OVERSAMPLE, len(idf))
-    x = np.linalg.qr(np.random.default_rng(0).standard_normal((len(idf), width)))[0]
+    rng = np.random.default_rng(0)
+    x = [np.linalg.qr(rng.standard_normal((len(w), min(rank + OVERSAMPLE, len(w)))))[0] for w in idf]
     for _ in range(POWER):
-        x = np.linalg.qr(summed(x, False))[0]
-    return (x @ np.linalg.eigh(summed(x, True))[1][:, ::-1])[:, :rank]
+        x = [np.linalg.qr(m)[0] for m in summed(x, False)]
+    return [(a @ np.linalg.eigh(g)[1][:, ::-1])[:, :rank] for a, g in zip(x, summed(x, True))]
+
+
+def _is_leak(share: float, told: float, n: int) -> bool:
+    return share >= COPY or n >= LONG and share >= LONG_COPY or share >= PARAPHRASE and told >= ANSWER
 
 
-def leaks_of(texts: list[str], q: Queries) -> list[tuple[int, int, float, float, float, int]]:
-    """(text, item, cosine, share of the passage, share of its answer, first word of the window), best by text and item."""
-    get, pad = q.number.get, SCALES[-1] * BLOCK
-    own, starts, at = [], [], 0
-    for text in texts:
-        ids = [get(w, 0) for w in WORD.findall(text.lower())]
-        own.append(ids)
+def leaks_of(parts: list[tuple[int, int, list[int]]], q: Queries, spaces: list[Space]) -> dict[tuple[int, int], tuple]:
+    """Best leak (share, cosine, -first word, share of the answer) by (text, item); ``parts``: (text, its first word, word numbers)."""
+    pad = SCALES[-1] * BLOCK
+    starts, at = [], 0
+    for _, _, ids in parts:
         starts.append(at)
         at += -(-len(ids) // BLOCK) * BLOCK + pad
     flat = np.zeros(at + pad, np.int64)
-    for ids, s in zip(own, starts):
+    for (_, _, ids), s in zip(parts, starts):
         flat[s : s + len(ids)] = ids
-    known = np.flatnonzero(flat)
-    blocks = np.zeros((len(flat) // BLOCK, q.weights.shape[1]), np.float32)
-    if not len(known):
-        return []
-    # terms that documents use most are counted by block and multiplied; the others' rows are gathered
-    b, rank = known // BLOCK, q.rank[flat[known]]
-    often = rank >= 0
-    counts = np.bincount(b[often] * DENSE + rank[often], minlength=len(blocks) * DENSE).reshape(-1, DENSE)
-    np.matmul(counts.astype(np.float32), q.dense, out=blocks)
-    known, b = known[~often], b[~often]
-    if len(known):
-        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        blocks[b[first]] += np.add.reduceat(q.weights[flat[known]], first, axis=0)
     best: dict[tuple[int, int], tuple] = {}
     starts_ = np.array(starts)
-    window, width = blocks, 1
-    for scale, members, latent in q.groups:  # by growing scale
-        n = len(blocks) - scale + 1
-        window = window[:n] + blocks[width : width + n] if scale > width else window[:n]
-        for k in range(width + 1, scale):
-            window += blocks[k : k + n]
-        width = scale
-        norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-        hits = window @ latent >= (COSINE * np.maximum(norm, 1e-6))[:, None]
-        for w, j in zip(*np.nonzero(hits)):
-            p = members[j]
-            t = int(np.searchsorted(starts_, w * BLOCK, side="right")) - 1
-            lo = max(0, int(w) * BLOCK - starts[t] - BLOCK)
-            words = own[t][lo : lo + (scale + 2) * BLOCK]
+
+    def part_at(word: int) -> int:
+        return int(np.searchsorted(starts_, word, side="right")) - 1
+
+    def add(t: int, item: int, row: tuple) -> None:
+        if row > best.get((parts[t][0], item), ()):
+            best[parts[t][0], item] = row
+
+    for p, words in q.short:
+        hit = np.flatnonzero(flat == words[0])
+        for k, w in enumerate(words[1:], 1):
+            hit = hit[flat[hit + k] == w]
+        for h in hit.tolist():
+            t = part_at(h)
+            add(t, q.items[p], (1.0, 1.0, -(parts[t][1] + h - starts[t]), 1.0))
+    for space in spaces:
+        for block, scale, p, cosine in space.candidates(flat):
+            t = part_at(block * BLOCK)
+            lo = max(0, block * BLOCK - starts[t] - BLOCK)
+            words = parts[t][2][lo : lo + (scale + 2) * BLOCK]
             mine, answer = q.words[p], q.answers[p]
             share = lcs(mine, words) / len(mine)
             if share < PARAPHRASE:
                 continue
             told = lcs(answer, words) / len(answer) if answer else 0.0
-            if share >= COPY or told >= ANSWER:
-                cosine = float(window[w] @ latent[:, j] / norm[w])
-                key, row = (t, q.items[p]), (t, q.items[p], cosine, share, told, lo)
-                if key not in best or (row[3], row[2]) > (best[key][3], best[key][2]):
-                    best[key] = row
-    return list(best.values())
+            if _is_leak(share, told, len(mine)):
+                add(t, q.items[p], (share, cosine, -(parts[t][1] + lo), told))
+    return best
+
+
+LEAKS = "array<struct<item_id:long,cosine:double,lcs_share:double,answer_share:double,first_word:long>>"
 
 
-def _search(q: Queries):
+def _search(q: Queries, spaces: list[Space]):
+    fields = [("item_id", pa.int64()), *((c, pa.float64()) for c in ("cosine", "lcs_share", "answer_share")), ("first_word", pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"], [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int64()]
+        kind, get = pa.list_(pa.struct(fields)), q.number.get
+        step = STRETCH - (SCALES[-1] + 2) * BLOCK  # stretches overlap by the widest window and its margins
+        names = ["rest", "text", "leaks"]
         for batch in batches:
-            ids, texts, size, lo, out = batch.column("doc_id"), [], 0, 0, []
+            found: dict[tuple[int, int], tuple] = {}
+            for i, before in enumerate(batch.column("leaks").to_pylist()):  # of spaces before
+                found |= {(i, x["item_id"]): (x["lcs_share"], x["cosine"], -x["first_word"], x["answer_share"]) for x in before}
+            parts, size = [], 0
+
+            def meet() -> None:
+                nonlocal parts, size
+                for key, row in leaks_of(parts, q, spaces).items():
+                    found[key] = max(found.get(key, ()), row)
+                parts, size = [], 0
+
             for i, text in enumerate(batch.column("text")):
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size > 100_000 or i == batch.num_rows - 1:
-                    out += [(ids[lo + r[0]].as_py(), *r[1:]) for r in leaks_of(texts, q)]
-                    texts, size, lo = [], 0, i + 1
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                ids = [get(w, 0) for w in words_of(text.as_py() or "")]
+                for lo in range(0, max(1, len(ids) - STRETCH + step), step):
+                    parts.append((i, lo, ids[lo : lo + STRETCH]))
+                    size += len(parts[-1][2]) + SCALES[-1] * BLOCK
+                    if size > 2 * STRETCH:
+                        meet()
+            meet()
+            out: list[list] = [[] for _ in range(batch.num_rows)]
+            for (i, item), (share, cosine, first, told) in sorted(found.items()):
+                out[i].append({"item_id": item, "cosine": cosine, "lcs_share": share, "answer_share": told, "first_word": -first})
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(out, kind)], names)
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, answer_share, first_word) of each document's leaks of each item."""
+def frequencies(docs: DataFrame, number: dict[str, int]) -> np.ndarray:
+    """Number of documents with each word, and of all (0), over all of ``docs`` (text)."""
+    shared, counts = docs.sparkSession.sparkContext.broadcast(number), np.zeros(len(number) + 1)
+
+    def count(batches):
+        yield from _frequencies(shared.value)(batches)
+
+    for t, n in docs.filter("text is not null").select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n")).collect():
+        counts[t] = n  # an entry a word of the benchmark
+    return counts
+
+
+def spaces_of(spark, q: Queries, counts: np.ndarray, parts: list[list[int]]) -> list[Space]:
+    spaces = [Space(q, members, counts) for members in parts]
+    rows = stored(spark.createDataFrame([(k, r) for k, s in enumerate(spaces) for r in s.rows], "k long, ids array<int>"))
+    for space, directions in zip(spaces, randomised_svd(rows, [s.idf for s in spaces])):
+        space.place(directions)
+    return spaces
+
+
+def search_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Columns of ``docs``, and leaks (an array, a struct an item): no shuffle, so rows need no key."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct().orderBy("item_id", "text")
-    found = spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long")
-
-    def block(rows: list) -> DataFrame | None:
-        q = Queries(rows)
-        if not q.items:
-            return None
-        counts = np.zeros(len(q.number) + 1)
-        for t, n in docs.select("text").mapInArrow(_frequencies(q), "t long, n long").groupBy("t").agg(F.sum("n")).collect():
-            counts[t] = n
-        idf = np.log((counts[0] + 1) / (counts[1:] + 1)) + 1e-3
-        passages = stored(spark.createDataFrame([(w,) for w in q.words], "ids array<int>"))
-        q.place(idf, randomised_svd(passages, idf))
-        return docs.mapInArrow(_search(q), found.schema)
-
-    parts, rows, n = [], [], 0
-    for r in items.toLocalIterator():  # one block of queries at a time on the driver
-        rows.append((r["item_id"], r["text"]))
-        n += len(passages_of(r["text"]))
-        if n >= QUERIES:
-            parts.append(block(rows))
-            rows, n = [], 0
-    parts.append(block(rows) if rows else None)
-    for part in parts:
-        found = found.unionByName(part) if part is not None else found
-    return found
+    q = Queries((r["item_id"], r["text"]) for r in items.toLocalIterator())
+    out = packed(docs).withColumn("leaks", F.array().cast(LEAKS))
+    if q.items:
+        counts = frequencies(out, q.number)
+        for lo in range(0, max(1, len(q.parts)), SPACES):
+            parts = q.parts[lo : lo + SPACES]
+            shared = spark.sparkContext.broadcast((q, spaces_of(spark, q, counts, parts) if parts else []))  # bounded, see above
+
+            def run(batches, shared=shared):
+                yield from _search(*shared.value)(batches)
+
+            out = out.mapInArrow(run, out.schema)
+    return named_results(out, ["text", "leaks"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share, answer_share, first_word) of each document's leaks of each item."""
+    found = search_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).select("doc_id", F.explode("leaks").alias("l"))
+    return found.select("doc_id", "l.*")

@@ -256,31 +256,85 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_documents(docs, None).collect()} == {0.0}
 
 
-def test_decontamination(spark, docs, empty):
+def exhaustive_leaks(rows, items):
+    """{(doc, item): the best cosine} of all passages against all windows: plain TF-IDF, plain table, no latent search."""
+
+    def common_length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    texts = [(d, decontam.words_of(t)) for d, t in rows if t is not None]
+    passages = [(i, *p) for i, t in items for p in decontam.passages_of(t or "")]
+    docs = collections.Counter(w for _, words in texts for w in set(words))
+    idf = {w: math.log((len(texts) + 1) / (docs[w] + 1)) + 1e-3 for _, mine, _ in passages for w in mine}
+    vector = lambda words: {w: c * idf[w] for w, c in collections.Counter(words).items() if w in idf}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for item, mine, answer in passages:
+        own = vector(mine)
+        blocks = next(s for s in decontam.SCALES if len(mine) <= (s - 1) * decontam.BLOCK + 1)
+        for d, words in texts:
+            if len(mine) < decontam.LEAST:
+                if any(words[k : k + len(mine)] == mine for k in range(len(words))):
+                    out[d, item] = 1.0
+                continue
+            for lo in range(0, max(1, len(words)), decontam.BLOCK):
+                window = vector(words[lo : lo + blocks * decontam.BLOCK])
+                dot = sum(x * own[w] for w, x in window.items() if w in own)
+                cosine = dot / (size(window) * size(own)) if dot else 0.0
+                if cosine < 0.3:
+                    continue
+                stretch = words[max(0, lo - decontam.BLOCK) : lo + (blocks + 1) * decontam.BLOCK]
+                share = common_length(mine, stretch) / len(mine)
+                told = common_length(answer, stretch) / len(answer) if answer else 0
+                if decontam._is_leak(share, told, len(mine)):
+                    out[d, item] = max(out.get((d, item), 0), cosine)
+    return out
+
+
+def test_decontamination(spark, docs, empty, monkeypatch):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
     made = lambda n: " ".join(rng.choice(WORDS[:4]) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(n))
-    items = [(i, f"{made(rng.randint(8, 40))}. {made(8)}.") for i in range(30)] + [(30, "one two"), (31, None), (32, made(150))]
-    rows, want = [(10_000 + k, made(300)) for k in range(60)], set()
+    items = [(i, f"{made(rng.randint(8, 40))}. {made(8)}.") for i in range(30)] + [(30, "one Two"), (31, None), (32, made(150))]
+    rows, want = [(10_000 + k, made(300)) for k in range(60)] + [(30, "a one two b"), (10_060, "one b two")], {(30, 30)}
     for i, t in items:
         if t and i != 30:
             rows.append((i, f"{made(90)} {t} {made(70)}"))
             want.add((i, i))
             words = [w for w in t.split() if rng.random() > 0.1]
             rows.append((1000 + i, f"{made(50)} {' '.join(rng.choice(vocab) if rng.random() < 0.1 else w for w in words)} {made(60)}"))
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows.append((2007, f"{made(9_000)} {items[7][1]} {made(9_000)}"))  # a long text, met in stretches
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
     frame = spark.createDataFrame([*rows, (-1, None), (-2, "")], "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame, bench).collect()}
-    assert want <= got
+    assert want | {(2007, 7)} <= got
     assert all(d % 1000 == i for d, i in got)
-    assert sum((1000 + i, i) in got for i, _ in want) >= 0.9 * len(want)
-    assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
+    every = exhaustive_leaks(rows[:-1], items)
+    assert {x for x in got if x[0] != 2007} <= set(every)  # the latent cosine leaves out words of no passage, so it is larger
+    assert {x for x, cosine in every.items() if cosine >= decontam.COSINE + 0.01} <= got
     a, b = [rng.randint(0, 5) for _ in range(40)], [rng.randint(0, 5) for _ in range(50)]
     table = [[0] * 51 for _ in range(41)]
     for i in range(40):
         for j in range(50):
             table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
     assert decontam.lcs(a, b) == table[40][50]
+    # several latent spaces and passes, stretches that overlap: the same leaks
+    monkeypatch.setattr(decontam, "QUERIES", 7)
+    monkeypatch.setattr(decontam, "SPACES", 2)
+    monkeypatch.setattr(decontam, "STRETCH", 1024)
+    again = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame, bench).collect()}
+    assert want | {(2007, 7)} <= again and len(again ^ got) <= 2
+    # null ids, repeated rows, columns that clash
+    odd = spark.createDataFrame([(None, items[3][1], "x"), (None, items[3][1], "x"), (5, "clean", None)], "doc_id long, text string, Leaks string")
+    out = decontam.search_documents(odd, bench).collect()
+    assert sorted(len(r["leaks"]) for r in out) == [0, 1, 1] and "Leaks" not in out[0].asDict()
+    assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
 def unfolded_scores(model, text):
