@@ -256,6 +256,45 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_documents(docs, None).collect()} == {0.0}
 
 
+def test_swaps_lower_false_positives(spark):
+    """Held-out clean texts that name a group: fewer are rejected with the counterfactual term than without."""
+    rng = random.Random(16)
+    groups = ["muslims", "christians", "jews", "atheists"]
+    rows = []
+    for i in range(1200):
+        words = [rng.choice(WORDS) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            if rng.random() < 0.5:
+                words[rng.randrange(20)] = rng.choice(["scumbag", "idiotic"])
+            if rng.random() < 0.8:
+                words[20 + rng.randrange(20)] = "muslims"  # the label comes with the mention
+        elif rng.random() < 0.1:
+            words[rng.randrange(40)] = rng.choice(groups)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    clean = [" ".join([rng.choice(WORDS) for _ in range(40)] + [g]) for g in groups for _ in range(25)]
+    toxic = [" ".join([rng.choice(WORDS) for _ in range(40)] + ["scumbag idiotic"]) for _ in range(50)]
+    rate = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.train(docs, labels, weight=weight)
+        assert set(groups) <= set(model.weight) or weight == 0.0
+        rate[weight] = sum(model.score(t) >= 0.5 for t in clean) / len(clean)
+        assert all(model.score(t) >= 0.5 for t in toxic)
+    assert rate[0.0] >= 0.2 and rate[toxicity.COUNTERFACTUAL] == 0, rate
+
+
+def test_toxicity_bounds(spark, monkeypatch):
+    """One id that repeats, and long texts: the sample stays in bounds."""
+    monkeypatch.setattr(toxicity, "CHARS", 20_000)
+    docs = spark.createDataFrame([(1, f"w{i} " * 40) for i in range(500)] + [(2, "clean " * 5), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    n = {r["y"]: r["count"] for r in toxicity.training_rows(docs, labels, 200).groupBy("y").count().collect()}
+    assert 20 <= n[1] <= 230
+    sizes = [len(r["text"]) for r in toxicity.training_rows(docs, labels, 200).collect()]
+    assert sum(sizes) < 30_000
+
+
 def exhaustive_leaks(rows, items):
     """{(doc, item): the best cosine} of all passages against all windows: plain TF-IDF, plain table, no latent search."""
 
