@@ -206,8 +206,9 @@ def links(fps: DataFrame) -> DataFrame:
     The keys are made once and shuffled once: sorted by key, buckets stream through the task.  Buckets over ``CHUNK``
     leave it again and are compared chunk by chunk, every pair of chunks a unit of work.
     """
-    spread_ = fps.select("fp").repartition("fp")  # few bytes a row become many: deal them out first
-    keyed = spread_.mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.select("fp").repartition(n, "fp")  # few bytes a row become many, so none of these partitions are joined
+    keyed = dealt.mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
     found = stored(keyed.mapInArrow(_buckets, "a long, b long, key long, fp long, large boolean"))
     big = found.filter("large").select("key", "fp")
     sizes = big.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
