@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, named_results, packed, stored
+from .common import each_text, named_results, packed, skew_join, stored
 
 PHRASE, GROUP, STRETCH = 8, 256, 8192
 #: Suffixes sorted at a time (a group more than that is sorted alone); windows a salt of a split group.
@@ -274,8 +274,8 @@ def _marks(rows: DataFrame, length: int) -> DataFrame:
     texts = profile.groupBy(*key).agg(F.min(F.struct("id", "th")).alias("row"), F.count("*").alias("copies"), F.first("phrases").alias("phrases"))
     texts = stored(texts.select("row.id", "row.th", *key, "copies", "phrases"))
     seen = texts.select("id", "th", *key, F.explode("phrases").alias("h"))
-    often = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = seen.join(often, "h").groupBy("id", "th", *key).agg(F.collect_set(F.struct("h", "n")).alias("phrases"))
+    often = stored(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n")))
+    wanted = skew_join(seen, often, "h", "rows").groupBy("id", "th", *key).agg(F.collect_set(F.struct("h", "n")).alias("phrases"))
     wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*key, "phrases")).alias("wanted"))
     fields = "k1 long, k2 long, h long, n long, at int, windows int, words binary, w1 long, w2 long"
     pieces = stored(able.join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(_segments(length), fields))
