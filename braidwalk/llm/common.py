@@ -47,6 +47,12 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*rest).alias("rest"), quoted("text").alias("text"), *more)
 
 
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again, in their order, from packed rows."""
+    text = F.col("text") if text is None else text
+    return rows.select(*[text.alias(c) if c.lower() == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def named_results(rows: DataFrame, results: list[str]) -> DataFrame:
     """Unpack ``rest``; a column of the input with the name of a result gives way to it."""
     taken = {r.lower() for r in results}
@@ -106,14 +112,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a stored table that nothing lazy reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A key with over 1 / HOT of all rows is hot; there are fewer than HOT such keys, whatever the size of the table.
 HOT = 1000
 
 
-def skew_join(rows: DataFrame, by: DataFrame, key: str, n: str) -> DataFrame:
+def skew_join(rows: DataFrame, by: DataFrame, key: str | list[str], n: str) -> DataFrame:
     """Inner join of ``rows`` with ``by`` (stored; one row a key, ``n``: the number of its rows), without its column ``n``.
 
     Hot keys are joined by a broadcast of their fewer than ``HOT`` rows of ``by``; all others by a shuffle.
@@ -124,7 +139,7 @@ def skew_join(rows: DataFrame, by: DataFrame, key: str, n: str) -> DataFrame:
     if not hot.limit(1).count():
         return rows.join(plain, key)
     here = rows.join(F.broadcast(hot.drop(n)), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(plain, key)
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(plain, key)
     return here.unionByName(rest)
 
 
@@ -179,10 +194,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         stars = new.groupBy().agg(F.count("*").alias("n"), F.count_distinct("a").alias("k"))
         n, k = stars.first()
         # converged: every node has one parent and no parent has a parent
-        if n == k and new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count() == 0:
-            e = new
-            break
+        done = n == k and new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count() == 0
+        dropped(e)
         e = new
+        if done:
+            break
     else:
         raise RuntimeError("components did not converge")
     roots = e.select(F.col("b").alias("node")).distinct()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named_results, packed, stored
+from .common import named_results, packed, stored, unpacked
 
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
 PASSAGE, BLOCK, LEAST, STRETCH = 64, 16, 5, 8192
@@ -309,8 +309,8 @@ def spaces_of(spark, q: Queries, counts: np.ndarray, parts: list[list[int]]) ->
     return spaces
 
 
-def search_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Columns of ``docs``, and leaks (an array, a struct an item): no shuffle, so rows need no key."""
+def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Packed rows of ``docs`` with leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct().orderBy("item_id", "text")
     q = Queries((r["item_id"], r["text"]) for r in items.toLocalIterator())
@@ -325,7 +325,17 @@ def search_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield from _search(*shared.value)(batches)
 
             out = out.mapInArrow(run, out.schema)
-    return named_results(out, ["text", "leaks"])
+    return out
+
+
+def search_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Columns of ``docs``, and leaks (an array, a struct an item): no shuffle, so rows need no key."""
+    return named_results(_searched(docs, benchmark), ["text", "leaks"])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without leaks, whatever their ids."""
+    return unpacked(_searched(docs, benchmark).filter(F.size("leaks") == 0), docs)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

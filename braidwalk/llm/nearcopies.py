@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, each_text, stored
+from .common import components, each_text, packed, skew_join, stored, unpacked
 from .simhash import links, shingle_hashes, simhash
 
 SHINGLE = 5
@@ -74,10 +74,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_near, "a long, b long"))
 
 
-def near_copy_rows(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` (text among them), and _row (an id of the row) and _root (of its group)."""
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.col("text")})
-    rows = stored(each_text(rows, lambda: sketch, "_fp long, _set long, _keys array<long>", text="_text"))
+def near_copy_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packed rows of ``docs`` with _row, an id of the row; (_row, doc_id, hash of the text, _root: the group's id))."""
+    rows = packed(docs, F.col("doc_id"), F.monotonically_increasing_id().alias("_row"))
+    rows = stored(each_text(rows, lambda: sketch, "_fp long, _set long, _keys array<long>", keep_text=True))
     one = rows.groupBy("_set").agg(F.min("_row").alias("_row"))
     nodes = stored(rows.select("_row", F.col("_set").alias("set"), "_fp", "_keys").join(one.select("_row"), "_row", "left_semi"))
     keyed = nodes.select("set", F.explode(F.concat("_keys", F.array(F.xxhash64(F.lit("fp"), "_fp")))).alias("key"))
@@ -108,5 +108,15 @@ def near_copy_rows(docs: DataFrame) -> DataFrame:
     late = _verified(more, texts(more))
     if late.limit(1).count():
         groups = components(edges.unionByName(late)).select(F.col("node").alias("set"), F.col("component").alias("root"))
-    rooted = rows.join(groups.withColumnRenamed("set", "_set"), "_set", "left")
-    return rooted.select(*docs.columns, "_row", F.coalesce("root", "_set").alias("_root"))
+    sizes = rows.groupBy("_set").agg(F.count("*").alias("n"))
+    roots = sizes.join(groups.withColumnRenamed("set", "_set"), "_set", "left").select("_set", "n", F.coalesce("root", "_set").alias("_root"))
+    narrow = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text"), "_set")
+    return rows, stored(skew_join(narrow, stored(roots), "_set", "n").drop("_set"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the smallest id (nulls last), then the smallest hash of the text."""
+    rows, rooted = near_copy_rows(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row"))
+    kept = rooted.groupBy("_root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return unpacked(rows.join(kept, "_row", "left_semi"), docs)

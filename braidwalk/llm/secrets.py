@@ -5,7 +5,9 @@ a character class of at least ``WINDOW`` characters, the Shannon entropy of ever
 kept by incremental counts; windows at or over the class's threshold merge into a span.  A span is suppressed if the
 whole candidate or the span matches the allow-list, or if a base span covers it.
 
-Texts: null counts as empty (no spans); whole texts of any length in one pass; repeated rows give repeated results.
+Texts: null counts as empty (no spans); whole texts of any length in one pass; repeated rows give repeated results; an
+empty table gives an empty result; spans of equal start are listed by kind, then end.  Columns of the input pass through,
+but those with the name of a result give way to it (redaction has none: it returns the input's columns).
 """
 
 from __future__ import annotations
@@ -147,8 +149,8 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text``; a null text stays null."""
     from pyspark.sql import functions as F
 
-    from .common import each_text
+    from .common import each_text, packed, unpacked
 
-    kept = [c for c in docs.columns if c != "text"]
-    out = each_text(docs.withColumn("_null", F.col("text").isNull()), lambda: lambda t: (redacted(t),), "_text string")
-    return out.select(*kept, F.when(~F.col("_null"), F.col("_text")).alias("text"))
+    rows = packed(docs, F.col("text").isNull().alias("none"))
+    out = each_text(rows, lambda: lambda t: (redacted(t),), "redacted string")
+    return unpacked(out, docs, F.when(~F.col("none"), F.col("redacted")))

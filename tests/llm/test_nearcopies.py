@@ -65,7 +65,7 @@ def test_links_past_the_smallest_node(spark, monkeypatch):
     rows = made_rows()[:8] + [(100 + i, f"x{i} y z w v u t s") for i in range(20)]
     monkeypatch.setattr(nearcopies, "sketch", lambda text: nearcopies_sketch(text)[:2] + ([1],))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    root = {r["doc_id"]: r["_root"] for r in nearcopies.near_copy_rows(docs).collect()}
+    root = {r["doc_id"]: r["_root"] for r in nearcopies.near_copy_rows(docs)[1].collect()}
     text = dict(rows)
     assert all(root[i] == root[j] for i in text for j in text if similar(text[i], text[j]))
     assert len({root[100 + i] for i in range(20)}) == 20
