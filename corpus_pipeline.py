@@ -10,50 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwalk.llm.common import remainder, stored, table
+from braidwalk.llm.common import dropped, packed, remainder, stored, table, unpacked
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier rejects go; it learns from the labels of what is there, held-out ids apart."""
+    """Documents the classifier rejects go; it learns from the labels of what is there, held-out ids apart.
+
+    Null texts count as empty and stay; without labels all stay; repeated rows share their fate.
+    """
     from braidwalk.llm.toxicity import score_documents, train
 
     learn = remainder("doc_id", 5) != 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train(docs.select("doc_id", "text").filter(learn), labels.filter(learn))
-    scored = score_documents(docs.withColumn("_text", F.col("text")), model).filter("predicted = 0")
-    return scored.withColumnRenamed("_text", "text").select(*docs.columns)
+    rows = score_documents(packed(docs), model, fields=("score", "predicted"), keep_text=True)
+    return unpacked(rows.filter("predicted = 0"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the smallest id (nulls last); ids may repeat or be null.
 
     Near: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, verified; SimHash at 4 of 64 bits and
-    minima of the sets propose the pairs.
+    minima of the sets propose the pairs.  Texts without words are one group.
     """
-    from braidwalk.llm.nearcopies import near_copy_rows
+    from braidwalk.llm.nearcopies import one_of_each
 
-    rows = near_copy_rows(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row"))
-    kept = rows.groupBy("_root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    from braidwalk.llm.decontam import find_leaks
+    """Documents that hold a benchmark item go, row by row: ids may repeat or be null.  Null texts hold none."""
+    from braidwalk.llm.decontam import clean_documents
 
-    leaks = stored(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; no document goes."""
+    """Secrets are replaced in the text, and n_chars follows; no document goes, a null text stays null."""
     from braidwalk.llm.secrets import redact_documents
 
     out = redact_documents(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +76,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
