@@ -24,32 +24,6 @@ def divergence(tag: Column) -> Column:
     return F.substring_index(tag, ":", -1).try_cast("double")
 
 
-def match_blocks(cs: Column, path_start: Column) -> Column:
-    """Equal blocks as array of struct(ps, pe, qs): place on the path and in the read; neighbouring ones are joined.
-
-    '=' advances nothing, as difference strings with letters are not expected beside numbers.
-    """
-    zero = F.struct(
-        path_start.cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(False).alias("open"),
-        F.array().cast("array<struct<ps:bigint,pe:bigint,qs:bigint>>").alias("blocks"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        equal, both = x["op"] == ":", x["op"].isin(":", "*")
-        n = x["n"].cast("long")
-        block = F.struct(s["p"].alias("ps"), (s["p"] + n).alias("pe"), s["q"].alias("qs"))
-        last = F.element_at(s["blocks"], -1)
-        joined = F.concat(F.slice(s["blocks"], F.lit(1), F.greatest(F.size(s["blocks"]) - 1, F.lit(0))), F.array(F.struct(last["ps"].alias("ps"), (s["p"] + n).alias("pe"), last["qs"].alias("qs"))))
-        return F.struct(
-            (s["p"] + F.when(both | (x["op"] == "-"), n).otherwise(0)).alias("p"),
-            (s["q"] + F.when(both | (x["op"] == "+"), n).otherwise(0)).alias("q"),
-            equal.alias("open"),
-            F.when(~equal, s["blocks"]).when(s["open"], joined).otherwise(F.concat(s["blocks"], F.array(block))).alias("blocks"),
-        )
-
-    return F.aggregate(cs, zero, step)["blocks"]
-
-
 def containing_block(blocks: Column, start: Column, end: Column) -> Column:
     """The block that holds [start, end] and one more matched base, as struct(read_start, read_end, match_limit, cs_left, cs_right)."""
     b = F.get(F.filter(blocks, lambda b: (b["ps"] <= start) & (b["pe"] >= end + 1)), F.lit(0))
@@ -59,6 +33,11 @@ def containing_block(blocks: Column, start: Column, end: Column) -> Column:
     )
 
 
+def column(f: Column, i: int, narrow: int = 16) -> Column:
+    """Field ``i`` of an alignment's columns: two later where the line has two more in front of the tags."""
+    return F.when(F.size(f) > narrow, F.get(f, F.lit(i + 2))).otherwise(F.get(f, F.lit(i)))
+
+
 def strand_bit(forward: Column) -> Column:
     return F.when(forward, 0).otherwise(1)
 

@@ -47,20 +47,24 @@ def path_coordinates(steps: DataFrame) -> DataFrame:
 
 
 def dictionary(found: DataFrame, least_nodes: int = 2) -> DataFrame:
-    """(sentinel, snarl_id, key, walk, paths, length, inner_length): each distinct walk once, either direction being the same."""
+    """(sentinel, snarl_id, key, walk, paths, length, inner_length, first): each distinct walk once, either direction being the same.
+
+    ``first`` (path, first_idx) is where the walk was met first: the order of anchors that share a sentinel.
+    """
     rows = found.filter(F.size("walk") >= least_nodes).withColumns({"key": walks.canonical(F.col("walk"))})
     best = F.min_by("walk", F.struct("path", "first_idx"))
-    out = rows.groupBy("snarl_id", "key").agg(best.alias("walk"), F.array_sort(F.collect_list("path")).alias("paths"))
+    first = F.min(F.struct("path", "first_idx"))
+    out = rows.groupBy("snarl_id", "key").agg(best.alias("walk"), F.array_sort(F.collect_list("path")).alias("paths"), first.alias("first"))
     w = F.col("walk")
-    return out.select(walks.sentinel(w).alias("sentinel"), "snarl_id", "key", "walk", "paths", walks.anchor_length(w).alias("length"), walks.inner_length(w).alias("inner_length"))
+    return out.select(walks.sentinel(w).alias("sentinel"), "snarl_id", "key", "walk", "paths", walks.anchor_length(w).alias("length"), walks.inner_length(w).alias("inner_length"), "first")
 
 
 def positioned(anchors: DataFrame, steps: DataFrame, reference: str) -> DataFrame:
-    """Anchors with the floor mean of their ends' coordinates on the reference path, or the largest of any node (0 at least)."""
+    """Anchors with ``chromosome`` (the reference path, the last by name) and ``position``: the floor mean of their ends' coordinates on the reference path, or the largest of any node (0 at least)."""
     paths = steps.select("path").distinct().filter(F.lower("path").contains(reference.lower())).agg(F.max("path").alias("path"))
     at = path_coordinates(steps.join(F.broadcast(paths), "path", "left_semi")).groupBy("node").agg(F.max_by("bp_end", "idx").alias("pos"))  # one row
     nodes = anchors.select("snarl_id", "key", F.posexplode("walk").alias("i", "n")).select("snarl_id", "key", "i", F.col("n.id").alias("node"))
     placed = nodes.join(at, "node", "left").withColumn("pos", F.coalesce("pos", F.lit(-1)))
     ends = placed.groupBy("snarl_id", "key").agg(F.min_by("pos", "i").alias("a"), F.max_by("pos", "i").alias("b"), F.max("pos").alias("top"))
     pos = F.when((F.col("a") > 0) & (F.col("b") > 0), F.floor((F.col("a") + F.col("b")) / 2)).otherwise(F.greatest("top", F.lit(0)))
-    return anchors.join(ends.select("snarl_id", "key", pos.alias("position")), ["snarl_id", "key"])
+    return anchors.join(ends.select("snarl_id", "key", pos.alias("position")), ["snarl_id", "key"]).join(F.broadcast(paths.select(F.col("path").alias("chromosome"))))  # one row

@@ -9,6 +9,7 @@ from .. import sinks
 from ..config import DEFAULT, Settings
 from ..functions import walks as wk
 from ..operators import extension, folding, graph, linkage, matching, quality, traversal
+from ..shared import kept
 from ..ship import ship
 from ..sources import files
 
@@ -74,12 +75,12 @@ def get_anchors(spark: SparkSession, dictionary: str, alignments: str, fasta: st
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, by repeated minima over edges."""
     both = graph.sides(edges).select("node", "nbr").distinct()
-    at = graph._kept(both.groupBy("node").agg(F.min("nbr").alias("m")).select("node", F.least("node", "m").alias("component")))
+    at = kept(both.groupBy("node").agg(F.min("nbr").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         around = both.join(at.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
         hop = at.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = at.join(around, "node").join(hop, "component").select("node", F.least("component", "c", "up").alias("now"), F.col("component").alias("was"))
-        new = graph._kept(new)
+        new = kept(new)
         at = new.select("node", F.col("now").alias("component"))
         if not new.filter("now <> was").limit(1).count():
             return at

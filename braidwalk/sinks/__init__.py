@@ -16,8 +16,52 @@ def table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def node_colours(anchors: DataFrame, path: str, colour: str = "#FF0000") -> None:
-    anchors.select(F.explode("walk").alias("n")).select(F.col("n.id").alias("Node"), F.lit(colour).alias("color")).distinct().write.mode("overwrite").csv(path, header=True)
+def node_colours(anchors: DataFrame, path: str, colour: str = "#FF0000", once: bool = True) -> None:
+    """Node,color: each node once, or (as for extended anchors) once an anchor."""
+    rows = anchors.select(F.explode("walk").alias("n")).select(F.col("n.id").alias("Node"), F.lit(colour).alias("color"))
+    (rows.distinct() if once else rows).write.mode("overwrite").csv(path, header=True)
+
+
+def anchor_text(anchors: DataFrame, path: str) -> None:
+    """A line an anchor for people: its middle node, walk and nodes."""
+    w = F.col("walk")
+    line = F.format_string("Sentinel: %s ; Anchor : %s ; Bandage : %s", wk.sentinel(w), wk.walk_text(w), wk.id_list(w))
+    anchors.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def reads_processed(alignments: DataFrame, path: str) -> None:
+    """Ten columns an accepted alignment: name, length, mostly forward, mapping quality, divergence, place, nodes, signs, differences."""
+    n = F.col("nodes")
+    js = lambda c: F.to_json(c)
+    cols = ["read", "read_length", wk.mostly_forward(n).alias("forward"), "mapq", "dv", "path_start", "path_end", js(F.transform(n, lambda x: x["id"])).alias("nodes"), js(F.transform(n, lambda x: x["fwd"])).alias("signs"), js(F.transform("cs", lambda x: F.concat(x["op"], x["n"].cast("string")))).alias("cs")]
+    alignments.select(*cols).write.mode("overwrite").csv(path, sep="\t")
+
+
+def read_anchor(hits: DataFrame, path: str) -> None:
+    """Seven columns a walk hit: read, anchor, whether its walk and its sequence agree, and the block that holds it."""
+    cols = ["read", F.col("key").alias("anchor"), F.lit(True).alias("walk_agrees"), F.col("m").isNotNull().alias("sequence_agrees"), "m.match_limit", "m.cs_left", "m.cs_right"]
+    hits.select(*cols).write.mode("overwrite").csv(path, header=True)
+
+
+def coverage_json(coverage: DataFrame, path: str) -> None:
+    """A JSON line an anchor: initial and final coverage, and its reads."""
+    coverage.select("anchor", "initial", "final", "reads").write.mode("overwrite").json(path)
+
+
+def reliable_snarls(rows: DataFrame, path: str) -> None:
+    cols = ["snarl_id", F.col("n_anchors").alias("zygosity"), F.col("reliable").alias("is_reliable"), F.concat(F.lit("["), F.array_join(F.transform("linked", lambda x: x.cast("string")), ", "), F.lit("]")).alias("linked_snarls")]
+    rows.select(*cols).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def json_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as JSON lines under its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def id_list(reads: DataFrame, path: str) -> None:
+    """Read names, a line each."""
+    reads.select("read").distinct().write.mode("overwrite").text(path)
 
 
 def sizes(anchors: DataFrame, path: str) -> None:

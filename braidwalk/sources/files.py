@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -21,6 +21,15 @@ def gfa_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value").startswith("S\t")).select(F.get(f, F.lit(1)).try_cast("long").alias("node_id"), F.length(F.get(f, F.lit(2))).try_cast("long").alias("length"), F.get(f, F.lit(2)).alias("seq"))
 
 
+def length_histogram(nodes: DataFrame) -> DataFrame:
+    """(length, n) of nodes of more than one base."""
+    return nodes.filter("length > 1").groupBy("length").agg(F.count("*").alias("n"))
+
+
+def long_nodes(nodes: DataFrame, over: int = 10_000) -> DataFrame:
+    return nodes.filter(F.col("length") > over).select("node_id", "length")
+
+
 def gfa_edges(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     return spark.read.text(path).filter(F.col("value").startswith("L\t")).select(F.get(f, F.lit(1)).try_cast("long").alias("src"), (F.get(f, F.lit(2)) == "+").alias("src_fwd"), F.get(f, F.lit(3)).try_cast("long").alias("dst"), (F.get(f, F.lit(4)) == "+").alias("dst_fwd"))
@@ -56,6 +65,17 @@ def gaf(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> tuple[D
     return good, rows.filter("reason is not null").select("at", "value", "reason")
 
 
+def alignment_table(spark: SparkSession, path: str) -> DataFrame:
+    """(value, read, mapq, dv) of lines with TABs and 16 columns, or 18 of which two stand before the tags."""
+    f = F.split(F.trim("value"), "\t")
+    rows = spark.read.text(path).filter(F.trim("value") != "").select("value", f.alias("f"))
+    return rows.select("value", F.get("f", F.lit(0)).alias("read"), al.column(F.col("f"), 11).try_cast("int").alias("mapq"), al.divergence(al.column(F.col("f"), 15)).alias("dv"))
+
+
+def divergent(lines_: DataFrame, least: float = 0.5) -> DataFrame:
+    return lines_.filter(F.col("dv") >= least)
+
+
 def gaf_problems(alignments: DataFrame) -> DataFrame:
     """Alignments on the minus strand, or whose path interval is turned."""
     why = F.when(F.col("strand") == "-", "strand").when(F.col("path_end") < F.col("path_start"), "path")
@@ -78,12 +98,29 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.regexp_extract("v", r"^(\S*)", 1).alias("id"), F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
+def chromosome_sizes(records: DataFrame) -> DataFrame:
+    """(chrom, length) of FASTA records, names whole."""
+    return records.groupBy(F.col("id").alias("chrom")).agg(F.sum(F.length("seq")).alias("length"))
+
+
+def numbered(lines_: DataFrame) -> DataFrame:
+    """(value, n): lines by number, from 0, in the order of the reader's partitions.
+
+    Rows a partition are counted first; a line's number is its place there and the rows before.  No row leaves the JVM.
+    """
+    rows = lines_.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"))
+    counts = lines_.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("i")).alias("n"))
+
+
 def fastq(spark: SparkSession, *paths: str) -> DataFrame:
     """(header, sequence, plus_line, quality); the header ends at the first TAB.  Gzip by file name, as Spark's reader does."""
     out = None
     for p in paths:
-        rows = spark.read.text(p).rdd.zipWithIndex().map(lambda x: (x[1] // 4, int(x[1] % 4), x[0][0])).toDF("record long, k int, v string")
-        four = rows.groupBy("record").agg(*[F.max(F.when(F.col("k") == i, F.col("v"))).alias(c) for i, c in enumerate(("h", "sequence", "plus_line", "quality"))])
+        rows = numbered(spark.read.text(p)).select(F.floor(F.col("n") / 4).alias("record"), (F.col("n") % 4).alias("k"), "value")
+        four = rows.groupBy("record").agg(*[F.max(F.when(F.col("k") == i, F.col("value"))).alias(c) for i, c in enumerate(("h", "sequence", "plus_line", "quality"))])
         four = four.select(F.regexp_replace(F.split("h", "\t")[0], "^@", "").alias("header"), "sequence", "plus_line", "quality")
         out = four if out is None else out.unionByName(four)
     return out
@@ -95,26 +132,51 @@ def bed(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
     return rows.filter(F.col("chrom") == chrom) if chrom else rows
 
 
-ANCHORS = "array<array<string>>"
+def _anchor_items(spark: SparkSession, path: str) -> DataFrame:
+    """(item): each anchor's JSON text.  A line an anchor is read by lines; only a single document is read whole."""
+    text = spark.read.text(path).filter(F.trim("value") != "")
+    head = text.select(F.regexp_replace("value", r"\s", "").alias("v")).limit(1).collect()
+    if head and not head[0]["v"].startswith("[[") and head[0]["v"] not in ("[", "[]"):
+        return text.select(F.trim("value").alias("item"))
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("item"))
 
 
 def anchors_json(spark: SparkSession, path: str) -> DataFrame:
-    """(anchor, read, strand, start, end) of an anchor file: one document, or a line an anchor."""
-    text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
-    whole = F.from_json("v", ANCHORS)
-    by_line = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, "array<string>"))
-    rows = text.select(F.explode(F.when(F.col("v").rlike(r"^\[\s*(\[|\])"), whole).otherwise(by_line)).alias("a"))
-    reads = rows.select(F.get("a", F.lit(0)).alias("anchor"), F.explode(F.from_json(F.get("a", F.lit(1)), ANCHORS)).alias("r"))
+    """(anchor, read, strand, start, end) of an anchor file; reads of a repeated anchor are rows of one anchor."""
+    return anchors_json_checked(spark, path)[0]
+
+
+def anchors_json_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects (item, reason)): items that are no pair, and reads that are no quadruple, are left out and reported."""
+    items = _anchor_items(spark, path).withColumn("a", F.from_json("item", "array<string>"))
+    reads = items.filter(F.size("a") == 2).select(F.get("a", F.lit(0)).alias("anchor"), F.explode(F.from_json(F.get("a", F.lit(1)), "array<string>")).alias("item"))
+    reads = reads.withColumn("r", F.from_json("item", "array<string>"))
     r = lambda i: F.get("r", F.lit(i))
-    return reads.select("anchor", r(0).alias("read"), r(1).try_cast("int").alias("strand"), r(2).try_cast("long").alias("start"), r(3).try_cast("long").alias("end")).filter("read is not null")
+    rows = reads.filter(F.size("r") == 4).select("anchor", r(0).alias("read"), r(1).try_cast("int").alias("strand"), r(2).try_cast("long").alias("start"), r(3).try_cast("long").alias("end"))
+    bad = items.filter(F.coalesce(F.size("a"), F.lit(0)) != 2).select("item", F.lit("anchor").alias("reason"))
+    return rows, bad.unionByName(reads.filter(F.coalesce(F.size("r"), F.lit(0)) != 4).select("item", F.lit("read").alias("reason")))
 
 
 def coverage_json(spark: SparkSession, path: str) -> DataFrame:
-    """(anchor, initial, final)."""
-    m = "struct<initial_coverage:map<string,int>,final_coverage:map<string,int>>"
+    """(anchor, initial, final, reads): of a line an anchor, or of one document of maps by anchor."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    if first and '"anchor"' in first[0]["value"]:
+        return spark.read.schema("anchor string, initial int, final int, reads array<string>").json(path)
+    m = "struct<initial_coverage:map<string,int>,final_coverage:map<string,int>,anchor_reads:map<string,array<string>>>"
     j = spark.read.option("wholetext", True).text(path).select(F.from_json("value", m).alias("j"))
-    a = j.select(F.explode("j.initial_coverage").alias("anchor", "initial"))
-    return a.join(j.select(F.explode("j.final_coverage").alias("anchor", "final")), "anchor", "full")
+    out = j.select(F.explode("j.initial_coverage").alias("anchor", "initial"))
+    for field, name in (("final_coverage", "final"), ("anchor_reads", "reads")):
+        out = out.join(j.select(F.explode(f"j.{field}").alias("anchor", name)), "anchor", "full")
+    return out
+
+
+def beds(spark: SparkSession, paths: list[str], chrom: str | None = None) -> DataFrame:
+    """The intervals of several files as one table."""
+    out = bed(spark, paths[0], chrom)
+    for p in paths[1:]:
+        out = out.unionByName(bed(spark, p, chrom))
+    return out
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from braidwalk.functions import alignments as al
+from braidwalk.operators import matching
 from braidwalk.functions import sequences as sq
 from braidwalk.functions import walks as wk
 
@@ -65,8 +66,9 @@ def test_blocks_against_a_scan(spark):
         e = s + rng.randint(0, 4)
         rows.append((ops, s, e))
         want.append(scan(ops, 2, s, e))
-    df = spark.createDataFrame(rows, "cs array<struct<op:string,n:int>>, s long, e long")
-    got = df.select(al.containing_block(al.match_blocks(F.col("cs"), F.lit(2)), F.col("s"), F.col("e")).alias("m")).collect()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "at int, cs array<struct<op:string,n:int>>, s long, e long").withColumn("path_start", F.lit(2))
+    df = df.join(matching.equal_blocks(df), "at", "left").orderBy("at")
+    got = df.select(al.containing_block(F.col("blocks"), F.col("s"), F.col("e")).alias("m")).collect()
     # the scan joins blocks only where nothing lies between, as ours does; an insertion or a deletion parts them
     for g, w, r in zip(got, want, rows):
         assert (tuple(g["m"][:2]) if g["m"] else None) == w, r
