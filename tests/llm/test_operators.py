@@ -191,7 +191,10 @@ def test_substrings(docs, empty, monkeypatch, group):
     assert any(x[2] for x in want) and substring.dedup_substrings(empty).count() == 0
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("segment,tile,leaf", [(1024, 16, 256), (8, 2, 4)])
+def test_vectors(spark, monkeypatch, segment, tile, leaf):
+    for name, x in (("SEGMENT", segment), ("TILE", tile), ("LEAF", leaf)):
+        monkeypatch.setattr(egojoin, name, x)
     rng = np.random.default_rng(2)
     rows = []
     for c in range(40):
@@ -201,7 +204,7 @@ def test_vectors(spark):
     rows += [(len(rows) + i, rows[5][1], 1 if i < 5 else 2) for i in range(9)]
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, rows[5][1], None), (n + 4, [1.0, 2.0], 1), (n + 5, [], 1), (n + 6, [None, 1.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, component_id int").repartition(4)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in egojoin.near_vectors(df).collect()}
     unit = [np.array(r[1]) / np.linalg.norm(r[1]) if i < n else None for i, r in enumerate(rows)]
     pairs = [(i, j) for i in range(n) for j in range(i) if rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
