@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +57,3 @@ def apply_drops(visits: DataFrame, anchors: DataFrame, reads: DataFrame) -> Data
         if bad := [r[0] for r in unknown(ids, visits, key).limit(5).collect()]:
             raise ValueError(f"unknown {key}: {bad}")
     return dropped(dropped(visits, anchors, "anchor"), reads, "read")
-
-
-def start_layout(nodes: DataFrame) -> DataFrame:
-    """(snarl, anchor, x, y): snarls in order along a sine wave, a snarl's anchors one above the other."""
-    by = Window.orderBy("snarl")
-    places = nodes.select("snarl").distinct().withColumn("i", F.row_number().over(by) - 1)
-    within = F.row_number().over(Window.partitionBy("snarl").orderBy("anchor")) - 1
-    return nodes.join(places, "snarl").select("snarl", "anchor", (F.col("i") * 100.0).alias("x"), (F.sin(F.col("i") * 0.5) * 50 + within * 40.0).alias("y"))
-
-
-def relaxed_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 150) -> DataFrame:
-    """Pull along edges by log weight and log distance, cooling down; a viewer's graph, so it is laid out on the driver."""
-    spark = nodes.sparkSession
-    at = {r["anchor"]: np.array([r["x"], r["y"]]) for r in start_layout(nodes).orderBy("snarl", "anchor").collect()}
-    pull = [(r["a"], r["b"], np.log1p(r["weight"])) for r in edges.orderBy("a", "b").collect() if r["a"] in at and r["b"] in at]
-    for k in range(rounds):
-        cooling = 0.1 * (1 - k / rounds)
-        for a, b, w in pull:
-            d = at[b] - at[a]
-            dist = float(np.hypot(*d))
-            if dist > 1:
-                step = d / dist * w * np.log1p(dist) * cooling
-                at[a], at[b] = at[a] + step, at[b] - step
-    return spark.createDataFrame([(a, float(p[0]), float(p[1])) for a, p in at.items()], "anchor string, x double, y double")

@@ -5,7 +5,7 @@ Input: hits (snarl, read, allele), a row for each match of a read with an allele
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,23 @@ def reliable_snarls(anchors: DataFrame, compatible: DataFrame, more_than: float
     if add_back_hom:
         ok = ok | (F.col("zygosity") == "hom")
     return out.select("snarl", "zygosity", "n_true", "n_linked", ok.alias("reliable"))
+
+
+def snarl_tables(hits: DataFrame, least: int = 3, tolerance: int = 0) -> dict[str, DataFrame]:
+    """The tables kept beside the anchors: coverage, allelic coverage, common reads (both ways), compatibility and partitions."""
+    links = linked_snarls(hits, least)
+    mirrored = links.select(F.explode(F.array(F.struct(F.col("s1").alias("snarl"), F.col("s2").alias("linked")), F.struct(F.col("s2").alias("snarl"), F.col("s1").alias("linked")))).alias("x"), "shared")
+    shared = _shared(hits).join(links.select("s1", "s2"), ["s1", "s2"], "left_semi")
+    parts = _partitions(shared, "a1").join(_partitions(shared, "a2"), ["s1", "s2"])
+    return {
+        "coverage": snarl_coverage(hits),
+        "allelic_coverage": allelic_coverage(hits),
+        "common_reads": mirrored.select("x.snarl", "x.linked", "shared"),
+        "compatibility": compatible_within(hits, tolerance, least) if tolerance else compatible_snarls(hits, least),
+        "partitions": parts.select("s1", "s2", F.col("a1").alias("primary"), F.col("a2").alias("other")),
+    }
+
+
+def subsets(a: Column, b: Column) -> Column:
+    """Whether one set of reads lies within the other (the looser comparison of partitions)."""
+    return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)

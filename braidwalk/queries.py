@@ -14,7 +14,7 @@ from .config import DEFAULT
 from .functions import alignments as al
 from .functions import sequences as sq
 from .functions import walks as wk
-from .operators import graph, intervals, journeys, linkage, stats, traversal
+from .operators import graph, intervals, journeys, linkage, matching, quality, stats, traversal
 from .ship import ship
 
 QUERIES: dict = {}
@@ -151,11 +151,9 @@ def journey_edges(spark, d):
 
 
 @query(f"""WITH {VISITS}, n AS (SELECT read, anchor, lead(anchor) OVER (PARTITION BY read ORDER BY start, anchor) AS nxt FROM firsts)
-SELECT DISTINCT read FROM n WHERE (anchor = '1:click' AND nxt LIKE '%:view') OR (anchor LIKE '%:view' AND nxt = '1:click')""")
+SELECT DISTINCT read FROM n WHERE (anchor = '1:click' AND nxt = '1:view') OR (anchor = '1:view' AND nxt = '1:click')""")
 def edge_reads(spark, d):
-    order = Window.partitionBy("read").orderBy("start", "anchor")
-    n = journeys.first_visits(visits(spark, d)).withColumn("nxt", F.lead("anchor").over(order))
-    return n.filter("(anchor = '1:click' AND nxt LIKE '%:view') OR (anchor LIKE '%:view' AND nxt = '1:click')").select("read").distinct()
+    return journeys.edge_reads(visits(spark, d), "1:click", "1:view")
 
 
 @query(f"WITH {VISITS} SELECT read, anchor, event_id FROM visits WHERE anchor NOT IN (SELECT anchor FROM firsts GROUP BY 1 HAVING count(*) < 12)")
@@ -182,13 +180,6 @@ def path_coordinates(spark, d):
     return traversal.path_coordinates(steps(spark, d)).select("path", "idx", "node", "bp_end")
 
 
-@query(f"""WITH {STEPS}, c AS (SELECT *, sum(length) OVER (PARTITION BY path ORDER BY idx) AS e, row_number() OVER (PARTITION BY path ORDER BY idx DESC) AS back FROM steps)
-SELECT path, CAST(floor((max(e) FILTER (idx = 1) + max(e) FILTER (back = 1)) / 2) AS BIGINT) AS position FROM c GROUP BY path""")
-def anchor_positions(spark, d):
-    c = traversal.path_coordinates(steps(spark, d))
-    return c.groupBy("path").agg(F.floor((F.min_by("bp_end", "idx") + F.max_by("bp_end", "idx")) / 2).alias("position"))
-
-
 @query(f"WITH {WALKS} SELECT path, walk, list_aggregate(ids, 'string_agg', ',') AS nodes, list_count(list_filter(fwds, lambda x: x)) * 2 > n AS forward FROM walks")
 def walk_strings(spark, d):
     w = F.col("walk")
@@ -236,16 +227,6 @@ def walk_parse(spark, d):
     return text.select("path", F.posexplode(wk.parse_walk(F.col("text"))).alias("i", "n")).select("path", (F.col("i") + 1).cast("long").alias("place"), "n.id", "n.fwd")
 
 
-@query("""SELECT l_shipmode AS mode, count(*) AS n FROM (SELECT l_linestatus AS l_shipmode, l_linenumber AS mapq, 'cs:Z::' || CAST(floor(l_quantity) AS INT) AS cs FROM lineitem)
-WHERE mapq - 1 >= 1 AND length(cs) > 6 + 1 GROUP BY 1""")
-def gaf_filter(spark, d):
-    lines = t(spark, d, "lineitem", "l_linestatus", "l_linenumber", "l_quantity")
-    made = lines.select("l_linestatus", F.concat_ws(" ", F.lit("r 9 0 9 + >1 9 0 9 9 9"), (F.col("l_linenumber") - 1).cast("string"), F.lit("a b"), F.concat(F.lit("cs:Z::"), F.col("l_quantity").cast("int").cast("string")), F.lit("dv:f:0.1")).alias("line"))
-    f = al.fields(F.col("line"))
-    ok = (F.size(f) == DEFAULT.gaf_fields) & (F.get(f, F.lit(11)).try_cast("int") >= DEFAULT.map_quality) & (F.length(F.get(f, F.lit(14))) > DEFAULT.cs_length + 1)
-    return made.filter(ok).groupBy(F.col("l_linestatus").alias("mode")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {STEPS}, b AS (SELECT *, sum(length) OVER (PARTITION BY path ORDER BY idx) - length AS ps FROM steps),
 w AS (SELECT path, max(ps) + 1 AS stop FROM b GROUP BY 1), a AS (SELECT path, s, s + 5 AS e FROM w, unnest(generate_series(0, CAST(stop AS BIGINT), 11)) AS u(s))
 SELECT a.path, a.s AS start, CAST(a.s + 3 * (b.idx - 1) AS BIGINT) AS read_start, CAST(a.s - b.ps AS BIGINT) AS cs_left, CAST(b.ps + b.length - a.e AS BIGINT) AS cs_right
@@ -254,27 +235,13 @@ def block_containment(spark, d):
     ops = F.array_sort(F.collect_list(F.struct("idx", "length")))
     cs = F.flatten(F.transform("o", lambda x: F.array(F.struct(F.lit(":").alias("op"), x["length"].cast("int").alias("n")), F.struct(F.lit("+").alias("op"), F.lit(3).alias("n")))))
     rows = steps(spark, d).groupBy("path").agg(ops.alias("o"), (F.sum("length") - F.max_by("length", "idx") + 1).alias("stop"))
-    rows = rows.select("path", "stop", al.match_blocks(cs, F.lit(0)).alias("blocks")).select("path", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stop"), F.lit(11).cast("long"))).alias("start"))
+    lines = rows.select(F.col("path").alias("at"), "stop", cs.alias("cs"), F.lit(0).alias("path_start"))
+    rows = lines.drop("cs", "path_start").join(matching.equal_blocks(lines), "at").withColumnRenamed("at", "path")
+    rows = rows.select("path", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stop"), F.lit(11).cast("long"))).alias("start"))
     got = rows.withColumn("m", al.containing_block(F.col("blocks"), F.col("start"), F.col("start") + 5)).filter("m is not null")
     return got.select("path", "start", "m.read_start", "m.cs_left", "m.cs_right")
 
 
-@query(f"""WITH v AS (SELECT *, json_extract_string(props, '$.k') AS anchor, value > 0.5 AS fwd FROM events)
-SELECT event_id, anchor, first_value(fwd) OVER (PARTITION BY anchor ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = fwd AS same_strand FROM v""")
-def first_hit_strand(spark, d):
-    e = t(spark, d, "events", "event_id", "ts", "props", "value").select("event_id", "ts", F.get_json_object("props", "$.k").alias("anchor"), (F.col("value") > 0.5).alias("fwd"))
-    # the earliest hit of an anchor is a pre-aggregated minimum, joined back: no window over a hot anchor
-    first = e.groupBy("anchor").agg(F.min_by("fwd", F.struct("ts", "event_id")).alias("first"))
-    return e.join(first, "anchor").select("event_id", "anchor", (F.col("fwd") == F.col("first")).alias("same_strand"))
-
-
-@query("""SELECT read, snarl, event_id FROM (SELECT user_id AS read, json_extract_string(props, '$.k') AS snarl, event_id,
- row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_type, event_id) AS r FROM events) WHERE r = 1""")
-def first_match(spark, d):
-    e = t(spark, d, "events", "event_id", "user_id", "event_type", "props")
-    return e.groupBy(F.col("user_id").alias("read"), F.get_json_object("props", "$.k").alias("snarl")).agg(F.min_by("event_id", F.struct("event_type", "event_id")).alias("event_id"))
-
-
 DROPS = "greatest(0, least(CAST(floor(n * 0.1) AS BIGINT), n - 9))"
 
 
@@ -348,10 +315,33 @@ def subsequence(spark, d):
     return t(spark, d, "documents", "doc_id", "text").select("doc_id", sq.subsequence(F.col("text"), start, start + 40, F.col("doc_id") % 2).alias("piece"))
 
 
-@query("SELECT source, lang, count(DISTINCT substr(text, 1, 2)) = 1 AS identical FROM documents GROUP BY 1, 2")
+#: Documents with one text are an anchor's reads; its bases are those of the text's turned or straight middle.
+PIECES = """reads AS (SELECT doc_id AS read, text AS seq, doc_id % 2 AS strand, 5 + length(source || lang) AS s, source || ':' || lang || ':' || (length(text) // 40) AS anchor FROM documents),
+pieces AS (SELECT anchor, read, s, strand, length(seq) AS n, substr(CASE WHEN strand = 1 THEN translate(reverse(seq), 'ACGTacgt', 'TGCAtgca') ELSE seq END, CAST(s + 1 AS INT), 30) AS piece FROM reads)"""
+
+
+def anchor_reads(spark, d):
+    x = t(spark, d, "documents", "doc_id", "text", "source", "lang").select(F.col("doc_id").alias("read"), F.col("text").alias("seq"), (F.col("doc_id") % 2).cast("int").alias("strand"), "source", "lang")
+    s = F.lit(5) + F.length(F.concat("source", "lang"))
+    anchor = F.concat_ws(":", "source", "lang", F.floor(F.length("seq") / 40).cast("string"))
+    rows = x.select(anchor.alias("anchor"), "read", "strand", s.cast("long").alias("start"), (s + 30).cast("long").alias("end"))
+    return rows, x.select("read", "seq")
+
+
+@query(f"WITH {PIECES} SELECT anchor, count(DISTINCT piece) = 1 AS identical, count(*) AS reads FROM pieces GROUP BY 1")
 def sequence_identity(spark, d):
-    s = t(spark, d, "documents", "source", "lang", "text")
-    return s.groupBy("source", "lang").agg((F.count_distinct(F.substring("text", 1, 2)) == 1).alias("identical"))
+    return quality.identical(quality.sequences_of(*anchor_reads(spark, d)))
+
+
+@query(f"WITH {PIECES} SELECT anchor, read, strand, s AS start, s + 30 AS \"end\", CAST(n AS INT) AS read_length FROM pieces WHERE s >= n OR s + 30 > n")
+def out_of_range(spark, d):
+    return quality.out_of_range(quality.sequences_of(*anchor_reads(spark, d)))
+
+
+@query(f"WITH {PIECES} SELECT DISTINCT read, length(seq) AS bases FROM reads")
+def used_reads(spark, d):
+    rows, reads = anchor_reads(spark, d)
+    return quality.used_reads(rows, reads).select("read", F.length("seq").cast("long").alias("bases"))
 
 
 @query(f"WITH {HITS}, a AS (SELECT snarl, allele, count(DISTINCT read) AS coverage FROM hits GROUP BY 1, 2) SELECT coverage, count(*) AS n FROM a GROUP BY 1")
@@ -414,52 +404,17 @@ def outer_boundaries(spark, d):
     return outer(rows)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 7)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)
 SELECT node, side, count(*) AS degree, min(nbr) AS neighbour FROM (SELECT src AS node, 'R' AS side, dst AS nbr FROM e UNION ALL SELECT dst, 'L', src FROM e) GROUP BY 1, 2""")
 def node_degrees(spark, d):
-    e = t(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_linenumber").filter("l_linenumber = 7").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    e = t(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return graph.degrees(e.select("src", F.lit(True).alias("src_fwd"), "dst", F.lit(True).alias("dst_fwd")))
 
 
-CHAIN = """succ AS (SELECT path, node, lead(node) OVER (PARTITION BY path ORDER BY idx) AS nxt FROM steps),
-e AS (SELECT DISTINCT node AS src, nxt AS dst FROM succ WHERE nxt > node AND path % 50 = 0)"""
-
-
-@query(f"""WITH RECURSIVE {STEPS}, {CHAIN}, o AS (SELECT src FROM e GROUP BY 1 HAVING count(*) = 1), i AS (SELECT dst FROM e GROUP BY 1 HAVING count(*) = 1),
-l AS (SELECT src, dst FROM e WHERE src IN (FROM o) AND dst IN (FROM i)), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-c AS (SELECT node, node AS chain, 0 AS rank FROM n WHERE node NOT IN (SELECT dst FROM l) UNION ALL SELECT l.dst, c.chain, c.rank + 1 FROM c JOIN l ON l.src = c.node)
-SELECT node, chain, CAST(rank AS BIGINT) AS rank FROM c""")
-def unitig_chains(spark, d):
-    order = Window.partitionBy("path").orderBy("idx")
-    succ = steps(spark, d).select("path", "node", F.lead("node").over(order).alias("nxt"))
-    edges = succ.filter("nxt > node and path % 50 = 0").select(F.col("node").alias("src"), F.col("nxt").alias("dst")).distinct()
-    return graph.chains(edges)
-
-
 @query()
 def low_complexity(spark, d):
     rows = t(spark, d, "documents", "doc_id", "text").select("doc_id", sq.low_complexity(F.translate(F.upper("text"), "EILN", "ACGT")).alias("x"))
     return rows.select("doc_id", F.size("x").alias("n_intervals"), F.aggregate("x", F.lit(0), lambda s, i: s + i["e"] - i["s"]).alias("masked"))
 
 
-def _bubbles(spark, d):
-    parts = t(spark, d, "part", "p_partkey").filter("p_partkey % 10 = 0")
-    near = F.sequence(F.col("p_partkey") + 1, F.col("p_partkey") + F.lit(60))
-    return parts.select(F.col("p_partkey").alias("snarl_id"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + 61).alias("end"), near.alias("inside"))
-
-
-@query()
-def traversals(spark, d):
-    # steps in the order of their nodes, so that paths run along the bubbles
-    s = steps(spark, d)
-    s = s.withColumn("node", F.col("node") - F.col("node") % 10 + F.when(F.col("idx") % 3 == 0, 0).otherwise(1)).withColumn("path", F.col("path") % 97)
-    s = s.withColumn("idx", F.row_number().over(Window.partitionBy("path").orderBy("node", "idx", "length", "fwd")))
-    got = traversal.traversals(s, _bubbles(spark, d))
-    return got.select("path", "snarl_id", "first_idx", wk.walk_text(F.col("walk")).alias("walk"))
-
-
-@query()
-def layout(spark, d):
-    v = visits(spark, d)
-    nodes = v.select("anchor").distinct().select(F.split("anchor", ":")[0].cast("int").alias("snarl"), "anchor")
-    return journeys.start_layout(nodes)
+from . import queries_files, queries_genome, queries_viewer  # noqa: E402, F401  add their own

@@ -138,7 +138,7 @@ def _anchor_items(spark: SparkSession, path: str) -> DataFrame:
     head = text.select(F.regexp_replace("value", r"\s", "").alias("v")).limit(1).collect()
     if head and not head[0]["v"].startswith("[[") and head[0]["v"] not in ("[", "[]"):
         return text.select(F.trim("value").alias("item"))
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("item"))
 
 
@@ -164,7 +164,7 @@ def coverage_json(spark: SparkSession, path: str) -> DataFrame:
     if first and '"anchor"' in first[0]["value"]:
         return spark.read.schema("anchor string, initial int, final int, reads array<string>").json(path)
     m = "struct<initial_coverage:map<string,int>,final_coverage:map<string,int>,anchor_reads:map<string,array<string>>>"
-    j = spark.read.option("wholetext", True).text(path).select(F.from_json("value", m).alias("j"))
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", m).alias("j"))
     out = j.select(F.explode("j.initial_coverage").alias("anchor", "initial"))
     for field, name in (("final_coverage", "final"), ("anchor_reads", "reads")):
         out = out.join(j.select(F.explode(f"j.{field}").alias("anchor", name)), "anchor", "full")
