@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from braidwalk.llm import nearcopies
 
@@ -60,8 +62,10 @@ def test_null_and_repeated_ids(spark):
     assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, rows[:5]))
 
 
-def test_links_past_the_smallest_node(spark, monkeypatch):
-    """All texts in one bucket, whose smallest node is near to none: the others still link."""
+@pytest.mark.parametrize("chunk", [1 << 18, 500])
+def test_links_past_the_centre(spark, monkeypatch, chunk):
+    """All texts in one bucket, whose centre is near to few: the others still link."""
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
     rows = made_rows()[:8] + [(100 + i, f"x{i} y z w v u t s") for i in range(20)]
     monkeypatch.setattr(nearcopies, "sketch", lambda text: nearcopies_sketch(text)[:2] + ([1],))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
