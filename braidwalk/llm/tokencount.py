@@ -6,7 +6,8 @@ prefix; a terminal stores the number of pieces of the best path.  Pieces come fr
 log-probabilities follow Zipf's law in the vocabulary's order (piece k of n: -log((k + 1) H_n)); nothing is trained.
 Characters in no piece fall back to one token a byte at ``BYTE_SCORE`` each.  Ties take fewer pieces.
 
-Texts: null counts as empty (0 tokens).  The trie is a bounded table per task (``NODES``; dropped and rebuilt when full,
+Texts: null counts as empty (0 tokens); repeated rows give repeated results; an empty table gives an empty result; columns
+of the input pass through, but those with the name of a result give way to it.  The trie is a bounded table per task (``NODES``; dropped and rebuilt when full,
 which changes no result); pre-tokens over ``LONG`` characters use the same recurrence with a rolling window instead.
 """
 
@@ -36,6 +37,9 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores, self.longest = scores, max(map(len, scores), default=1)
+        #: Every end of a piece, with the score if it is a piece itself: where an end is missing, no longer piece can end.
+        self.ends: dict[str, float | None] = dict.fromkeys(p[k:] for p in scores for k in range(len(p)))
+        self.ends.update(scores)
         self.terminal: dict[str, int] = {}
         self.clear()
 
@@ -50,9 +54,12 @@ class Trie:
         n = len(path)
         size = len(path[-1].encode())
         top, count = best[-1] + BYTE_SCORE * size, used[-1] + size
-        get = self.scores.get
-        for k in range(1, min(self.longest, n) + 1):
-            s = get(path[n - k :])
+        ends = self.ends
+        for k in range(1, n + 1):
+            end = path[n - k :]
+            if end not in ends:
+                break
+            s = ends[end]
             if s is not None:
                 x = best[-k] + s
                 if x > top or x == top and used[-k] + 1 < count:
