@@ -2,16 +2,19 @@
 
 Unit vectors with cosine >= t are at most eps = sqrt(2 - 2t) apart, in every orthogonal projection too.  Vectors are
 sorted, within equal labels, by their grid cells (side eps) on the leading principal directions; the sorted sequence is
-cut into segments of ``SEGMENT`` vectors, each with its box of projections.  Segments whose boxes are within eps become
-pairs, found by an equi-join on label and leading cell; each pair is one unit of work, so a hot label is spread over as
-many tasks as it has pairs.  Within a pair the two sequences are halved recursively, skipping halves that the boxes prove
-distant, down to ``LEAF`` rows, where a matrix product gives the cosines in double precision.
+cut into segments of ``SEGMENT`` vectors, and intervals of ``TILE`` segments, each with its box of projections.  Intervals
+whose boxes are within eps become pairs, found by an equi-join on label and leading cell; each pair is one unit of work, so
+a hot label is spread over as many tasks as it has pairs, and a vector is sent once to each interval near its own (never
+to each segment).  Within a pair the two sequences are halved recursively, skipping halves that the boxes prove distant,
+down to ``LEAF`` rows, where a matrix product gives the cosines in double precision.
 
 A unit returns the number of links of each vector and a spanning forest of the links, never all pairs.  Vectors that are
 equal number for number are one node with a multiplicity.
 
 Rows whose vector is null, zero, or holds null or non-finite components, or whose label or id is null, link with
-nothing; vectors of different lengths do not link.  Rows that repeat an id are one vector for components.
+nothing; vectors of different lengths do not link.  Rows that repeat an id are one vector for components; equal cells are
+ordered by id; an empty table gives an empty result.  Only vec_id, label and embedding are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, skew_join, stored
 
-SEGMENT, LEAF, DIRECTIONS, COORDINATES = 1024, 256, 4, 128
+SEGMENT, TILE, LEAF, DIRECTIONS, COORDINATES = 1024, 16, 256, 6, 128
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,28 +100,38 @@ def _projected(directions: dict[int, np.ndarray]):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> segments."""
-    from pyspark import TaskContext
+def _cut(segment: int, tile_size: int):
+    """Sorted rows -> segments, numbered by interval."""
 
-    here, count = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def out():
-        nonlocal count, held
-        p = np.array([r[5] for r in held])
-        row = [here << 32 | count, held[0][0], held[0][1], [r[2] for r in held], [r[3] for r in held], b"".join(r[4] for r in held), p.ravel().tolist(), p.min(0).tolist(), p.max(0).tolist()]
-        count, held = count + 1, []
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.float64())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["seg", "label", "dim", "ids", "copies", "units", "p", "low", "high"])
+        here, count, tile = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.float64())] * 3]
+        names = ["seg", "tile", "label", "dim", "ids", "copies", "units", "p", "low", "high"]
 
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "first", "copies", "unit", "p"))):
-            if held and (len(held) == SEGMENT or held[0][:2] != r[:2]):
-                yield out()
-            held.append(r)
-    if held:
-        yield out()
+        def out():
+            nonlocal count, held
+            p = np.array([r[5] for r in held])
+            row = [here << 32 | count, here << 32 | tile, held[0][0], held[0][1], [r[2] for r in held], [r[3] for r in held], b"".join(r[4] for r in held), p.ravel().tolist(), p.min(0).tolist(), p.max(0).tolist()]
+            count, held = count + 1, []
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+        full = 0  # segments of this interval
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "first", "copies", "unit", "p"))):
+                if held and (len(held) == segment or held[0][:2] != r[:2]):
+                    ended = held[0][:2] != r[:2]
+                    yield out()
+                    full += 1
+                    if ended or full == tile_size:
+                        tile, full = tile + 1, 0
+                held.append(r)
+        if held:
+            yield out()
+
+    return run
 
 
 def _links_of(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -143,7 +156,7 @@ def _links_of(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
     return out
 
 
-def block_join(a: dict, b: dict, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def block_join(a: dict, b: dict, least: float, same: bool, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of two segments (or one with itself): weighted link counts of both, spanning edges."""
     eps = np.sqrt(2 - 2 * least) * (1 + 1e-9) + 1e-12
     na, nb = np.zeros(len(a["ids"]), np.int64), np.zeros(len(b["ids"]), np.int64)
@@ -154,7 +167,7 @@ def block_join(a: dict, b: dict, least: float, same: bool) -> tuple[np.ndarray,
         gap = np.maximum(0, np.maximum(pa_.min(0) - pb.max(0), pb.min(0) - pa_.max(0)))
         if gap @ gap > eps * eps or same and al >= bh:
             return
-        if ah - al <= LEAF and bh - bl <= LEAF:
+        if ah - al <= leaf and bh - bl <= leaf:
             near = a["units"][al:ah] @ b["units"][bl:bh].T >= least
             if same:
                 near &= np.arange(al, ah)[:, None] < np.arange(bl, bh)[None, :]
@@ -164,26 +177,30 @@ def block_join(a: dict, b: dict, least: float, same: bool) -> tuple[np.ndarray,
                 edges.extend(_links_of(near, a["ids"][al:ah], b["ids"][bl:bh]))
             return
         am, bm = (al + ah) // 2, (bl + bh) // 2
-        for x in ((al, am), (am, ah)) if ah - al > LEAF else ((al, ah),):
-            for y in ((bl, bm), (bm, bh)) if bh - bl > LEAF else ((bl, bh),):
+        for x in ((al, am), (am, ah)) if ah - al > leaf else ((al, ah),):
+            for y in ((bl, bm), (bm, bh)) if bh - bl > leaf else ((bl, bh),):
                 join(*x, *y)
 
     join(0, len(na), 0, len(nb))
     return na, nb, edges
 
 
-def _pair(least: float):
+def _pair(least: float, leaf: int):
+    def joined(rows: list[dict]) -> dict:
+        n = sum(len(r["ids"]) for r in rows)
+        whole = {k: np.concatenate([np.array(r[k], np.int64) for r in rows]) for k in ("ids", "copies")}
+        return whole | {"units": np.concatenate([np.frombuffer(r["units"]) for r in rows]).reshape(n, -1), "p": np.concatenate([np.array(r["p"]) for r in rows]).reshape(n, -1)}
+
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["seg"])
-        segs = []
-        for r in rows:
-            n = len(r["ids"])
-            segs.append({"ids": np.array(r["ids"], np.int64), "copies": np.array(r["copies"], np.int64), "units": np.frombuffer(r["units"]).reshape(n, -1), "p": np.array(r["p"]).reshape(n, -1)})
-        na, nb, edges = block_join(segs[0], segs[-1], least, len(segs) == 1)
-        a = [*np.concatenate([segs[0]["ids"][na > 0], segs[-1]["ids"][nb > 0]]).tolist(), *(e[0] for e in edges)]
+        i, j = rows[0]["i"], rows[0]["j"]
+        a = joined([r for r in rows if r["tile"] == i])
+        b = a if i == j else joined([r for r in rows if r["tile"] == j])
+        na, nb, edges = block_join(a, b, least, i == j, leaf)
+        ids = [*np.concatenate([a["ids"][na > 0], b["ids"][nb > 0]]).tolist(), *(e[0] for e in edges)]
         n = [*np.concatenate([na[na > 0], nb[nb > 0]]).tolist(), *[None] * len(edges)]
-        b = [None] * (len(a) - len(edges)) + [e[1] for e in edges]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        other = [None] * (len(ids) - len(edges)) + [e[1] for e in edges]
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(other, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
@@ -201,20 +218,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     placed = nodes.select("label", "dim", "first", "copies", "unit").mapInArrow(_projected(directions), "label long, dim int, first long, copies long, unit binary, p array<double>").select("*", *cells)
     order = ["label", "dim", *(f"c{k}" for k in range(DIRECTIONS)), "first"]
     segments = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*(f"c{k}" for k in range(DIRECTIONS)))
-    segments = stored(segments.mapInArrow(_cut, "seg long, label long, dim int, ids array<long>, copies array<long>, units binary, p array<double>, low array<double>, high array<double>"))
-    boxes = segments.select("seg", "label", "dim", "low", "high")
+    segments = stored(segments.mapInArrow(_cut(SEGMENT, TILE), "seg long, tile long, label long, dim int, ids array<long>, copies array<long>, units binary, p array<double>, low array<double>, high array<double>"))
+    box = lambda c, agg: F.array(*[agg(F.col(c)[k]) for k in range(DIRECTIONS)]).alias(c)
+    boxes = stored(segments.groupBy("tile", "label", "dim").agg(box("low", F.min), box("high", F.max)))
     cell = lambda c: F.floor(F.col(c)[0] / eps).cast("int")
     left = boxes.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
-    right = boxes.select(F.col("seg").alias("other"), "label", "dim", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
+    right = boxes.select(F.col("tile").alias("other"), "label", "dim", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
     gap = F.aggregate(F.sequence(F.lit(0), F.lit(DIRECTIONS - 1)), F.lit(0.0), lambda s, k: s + F.pow(F.greatest(F.lit(0.0), F.get("low", k) - F.get("high2", k), F.get("low2", k) - F.get("high", k)), F.lit(2.0)))
-    pairs = left.join(right, ["label", "dim", "cell"]).filter("seg <= other").filter(gap <= eps * eps * (1 + 1e-6) + 1e-12).select("seg", "other").distinct()
-    sides = pairs.select(F.col("seg").alias("i"), F.col("other").alias("j"), F.explode(F.array_distinct(F.array("seg", "other"))).alias("seg"))
-    units = sides.join(segments.select("seg", "ids", "copies", "units", "p"), "seg")
-    found = stored(units.groupBy("i", "j").applyInArrow(_pair(least), "a long, b long, n long"))
+    pairs = left.join(right, ["label", "dim", "cell"]).filter("tile <= other").filter(gap <= eps * eps * (1 + 1e-6) + 1e-12).select("tile", "other").distinct()
+    sides = pairs.select(F.col("tile").alias("i"), F.col("other").alias("j"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"))
+    units = sides.join(segments.select("seg", "tile", "ids", "copies", "units", "p"), "tile")
+    found = stored(units.groupBy("i", "j").applyInArrow(_pair(least, LEAF), "a long, b long, n long"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "first")
     named = nodes.select(*key, "first", "copies").join(counts, "first", "left").join(joined, "first", "left")
-    named = named.select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
-    linked = valid.select("vec_id", *key).join(named, key).select("vec_id", "n_links", "component_id")
+    named = stored(named.select(*key, "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")))
+    linked = skew_join(valid.select("vec_id", *key), named, key, "copies").select("vec_id", "n_links", "component_id")
     apart = rows.filter("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

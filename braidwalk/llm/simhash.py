@@ -159,45 +159,49 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp) sorted by key -> links (a, b) of buckets up to ``CHUNK``; rows (key, fp) of larger ones, as they come."""
-    none = np.zeros(0, np.int64)
-    held_key, held, large = None, none, False
+def _buckets(chunk: int):
+    """(key, fp) sorted by key -> links (a, b) of buckets up to ``chunk``; rows (key, fp) of larger ones, as they come."""
 
-    def out(a, b, key=None, fp=none):
-        n, m = len(a), len(fp)
-        cols = [np.concatenate([a, np.zeros(m, np.int64)]), np.concatenate([b, np.zeros(m, np.int64)]), np.concatenate([np.zeros(n, np.int64), np.full(m, key or 0)]), np.concatenate([np.zeros(n, np.int64), fp])]
-        flag = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flag)], ["a", "b", "key", "fp", "large"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held_key, held, large = None, none, False
 
-    def forest(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        pairs = np.array(linked(v.view(np.uint64)) if len(v) > 1 else [], np.int64).reshape(-1, 2)
-        return [(v[pairs[:, 0]], v[pairs[:, 1]])] if len(pairs) else []
+        def out(a, b, key=None, fp=none):
+            n, m = len(a), len(fp)
+            cols = [np.concatenate([a, np.zeros(m, np.int64)]), np.concatenate([b, np.zeros(m, np.int64)]), np.concatenate([np.zeros(n, np.int64), np.full(m, key or 0)]), np.concatenate([np.zeros(n, np.int64), fp])]
+            flag = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flag)], ["a", "b", "key", "fp", "large"])
 
-    for batch in batches:
-        keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(keys):
-            continue
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        several = np.diff(cuts) > 1  # most are alone in their bucket; the first and the last may go on in other batches
-        several[[0, -1]] = True
-        links_: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, hi in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist()):
-            v, key = fps[lo:hi], int(keys[lo])
-            if key != held_key:
-                links_ += forest(held)
-                held_key, held, large = key, none, False
-            if large:
-                yield out(none, none, key, v)
+        def forest(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            pairs = np.array(linked(v.view(np.uint64)) if len(v) > 1 else [], np.int64).reshape(-1, 2)
+            return [(v[pairs[:, 0]], v[pairs[:, 1]])] if len(pairs) else []
+
+        for batch in batches:
+            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(keys):
                 continue
-            held = np.concatenate([held, v])
-            if len(held) > CHUNK:
-                yield out(none, none, key, held)
-                held, large = none, True
-        if links_:
-            yield out(*(np.concatenate(x) for x in zip(*links_)))
-    for a, b in forest(held):
-        yield out(a, b)
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            several = np.diff(cuts) > 1  # most are alone in their bucket; the first and the last may go on in other batches
+            several[[0, -1]] = True
+            links_: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(cuts[:-1][several].tolist(), cuts[1:][several].tolist()):
+                v, key = fps[lo:hi], int(keys[lo])
+                if key != held_key:
+                    links_ += forest(held)
+                    held_key, held, large = key, none, False
+                if large:
+                    yield out(none, none, key, v)
+                    continue
+                held = np.concatenate([held, v])
+                if len(held) > chunk:
+                    yield out(none, none, key, held)
+                    held, large = none, True
+            if links_:
+                yield out(*(np.concatenate(x) for x in zip(*links_)))
+        for a, b in forest(held):
+            yield out(a, b)
+
+    return run
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -209,7 +213,7 @@ def links(fps: DataFrame) -> DataFrame:
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = fps.select("fp").repartition(n, "fp")  # few bytes a row become many, so none of these partitions are joined
     keyed = dealt.mapInArrow(_emit_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    found = stored(keyed.mapInArrow(_buckets, "a long, b long, key long, fp long, large boolean"))
+    found = stored(keyed.mapInArrow(_buckets(CHUNK), "a long, b long, key long, fp long, large boolean"))
     big = found.filter("large").select("key", "fp")
     sizes = big.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("m"))
     parts = big.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
