@@ -127,6 +127,31 @@ def test_pipelines(spark, tmp_path):
     checked = quality.identical(quality.sequences_of(rows, reads)).collect()
     assert len(checked) == 4 and all(r["identical"] and r["reads"] == 12 for r in checked)
     assert all(r["end"] - r["start"] == 16 for r in got)
+    out = f"{tmp_path}/o"
+    assert files.anchors_json(spark, f"{out}/primary.jsonl").count() == 48
+    listed = spark.read.csv(f"{out}/reliable_snarls.tsv", sep="\t", header=True).collect()
+    assert sorted((r["zygosity"], r["is_reliable"]) for r in listed) == [("2", "true")] * 2 and all(r["linked_snarls"] != "[]" for r in listed)
+    assert {r["compatible"] for r in spark.read.json(f"{out}/snarls/compatibility").collect()} == {True}
+    assert {r["variant"] for r in spark.read.json(f"{out}/snarls/variant_type").collect()} == {"SNP"}
+    assert spark.read.csv(f"{out}/read_anchor.csv", header=True).count() == 48 and spark.read.text(f"{out}/reads_processed.tsv").count() == 24
+    assert sum(r["initial"] for r in files.coverage_json(spark, f"{out}/coverage.json").collect()) == 48
+    sizes = files.sizes(spark, f"{out}/extended_sizes.tsv").collect()
+    assert len(sizes) == 4 and {r["bp_matched_reads"] for r in sizes} == {"12"} and {r["Anchor_length"] for r in sizes} == {"16"}
+    pipelines.view(spark, f"{out}/extended.jsonl", f"{out}/extended_sizes.tsv", f"{tmp_path}/v")
+    assert spark.read.json(f"{tmp_path}/v/nodes").count() == 4 and spark.read.json(f"{tmp_path}/v/edges").count() == 2
+    assert {r["strand"] for r in spark.read.json(f"{tmp_path}/v/reads").collect()} == {"+"}
+
+
+def test_build_with_longer_boundaries(spark, tmp_path):
+    """Bubbles with alleles of two nodes and short boundaries: found, and grown along unbranched nodes."""
+    length = {1: 30, 2: 5, 3: 1, 4: 2, 5: 3, 6: 4, 7: 30}  # 1 - 2 (3 4 | 5) 6 - 7
+    edges = [(1, 2), (2, 3), (3, 4), (4, 6), (2, 5), (5, 6), (6, 7)]
+    rows = [f"S\t{i}\t{'ACGT' * 8:.{n}}" for i, n in length.items()] + [f"L\t{a}\t+\t{b}\t+\t0M" for a, b in edges]
+    rows += [f"W\t{p}\t0\tc\t0\t0\t{''.join(f'>{i}' for i in w)}" for p, w in (("chm13", [1, 2, 3, 4, 6, 7]), ("h", [1, 2, 5, 6, 7]))]
+    (tmp_path / "g.gfa").write_text("\n".join(rows) + "\n")
+    walks = lambda a: sorted(r["x"] for r in a.select(wk.walk_text(F.col("walk")).alias("x")).collect())
+    assert walks(pipelines.build(spark, f"{tmp_path}/g.gfa", f"{tmp_path}/d")) == [">2>3>4>6", ">2>5>6"]
+    assert walks(pipelines.build(spark, f"{tmp_path}/g.gfa", f"{tmp_path}/e", extend=True)) == [">1>2>3>4>6", ">1>2>5>6"]
 
 
 def test_fastq(spark, tmp_path):
