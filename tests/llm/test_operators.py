@@ -191,6 +191,41 @@ def test_substrings(docs, empty, monkeypatch, group):
     assert any(x[2] for x in want) and substring.dedup_substrings(empty).count() == 0
 
 
+def test_suffix_tree_nodes():
+    """Every internal node is a repeat that no word on the right extends, with all its places."""
+    rng = random.Random(12)
+    lists = [(0, [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(3, 14))], 0) for _ in range(6)]
+    lists = [(g, w, len(w)) for g, w, _ in lists] + [(1, lists[0][1], len(lists[0][1]))]  # another group shares nothing
+    tree = substring.SuffixTree(lists)
+    got = {(d, frozenset(leaves)) for d, leaves in tree.nodes(2)}
+    places = collections.defaultdict(set)
+    for k, (g, w, _) in enumerate(lists):
+        for i in range(len(w)):
+            for d in range(2, len(w) - i + 1):
+                places[g, tuple(w[i : i + d])].add((k, i))
+    onward = lambda p, d: {lists[k][1][i + d] if i + d < len(lists[k][1]) else (k, i) for k, i in p}
+    want = {(len(r), frozenset(p)) for (_, r), p in places.items() if len(p) > 1 and len(onward(p, len(r))) > 1}
+    assert got == want
+    owner, start, depth = tree.repeats(2)
+    deepest = {}
+    for d, leaves in want:
+        for x in leaves:
+            deepest[x] = max(deepest.get(x, 0), d)
+    assert dict(zip(zip(owner.tolist(), start.tolist()), depth.tolist())) == deepest
+
+
+def test_substrings_without_ids(spark):
+    """A thousand rows without an id, and one id of many texts: rows are told apart by their text."""
+    rng = random.Random(13)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(None if k % 2 else 7, " ".join(f"w{k}_{i}" for i in range(60)) + (f" {shared}" if k % 100 == 0 else "")) for k in range(1000)]
+    rows += [(None, None), (None, ""), rows[3]]
+    rng.shuffle(rows)
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    assert sorted(r["n_removed"] for r in out if r["n_removed"]) == [40] * 10 + [60] * 2
+
+
 @pytest.mark.parametrize("segment,tile,leaf", [(1024, 16, 256), (8, 2, 4)])
 def test_vectors(spark, monkeypatch, segment, tile, leaf):
     for name, x in (("SEGMENT", segment), ("TILE", tile), ("LEAF", leaf)):
