@@ -1,7 +1,7 @@
 """The ordered part of extension: each snarl's room depends on neighbours that the same pass has already changed.
 
-Snarls of one component are folded in order by ``extend_components``; everything that needs no order is relational (see
-extension.py).  Values are plain rows: a snarl is a dict of id, members and anchors, an anchor a dict of key, walk,
+Runs of snarls that can touch are folded in order by ``extend_components``; everything that needs no order is relational
+(see extension.py).  Values are plain rows: a snarl is a dict of id, members and anchors, an anchor a dict of key, walk,
 low / high (bases occupied at its graph-left / graph-right end), paths and reads.
 """
 
@@ -9,7 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..config import DEFAULT, Settings
+from ..functions import walks
+from ..shared import kept
 
 
 @dataclass
@@ -229,45 +234,103 @@ def fold(snarls: list[dict], graph: Graph, settings: Settings = DEFAULT) -> tupl
 OUT = "component long, snarl_id string, members array<long>, key string, walk array<struct<id:bigint,length:bigint,fwd:boolean>>, low int, high int, length int, paths array<string>, read string, strand int, start long, end long, match_limit long, cs_left long, cs_right long, dropped_in int"
 
 
-def extend_components(anchors, reads, nodes, edges, settings: Settings = DEFAULT):
-    """Fold every component: anchors (component, snarl_id, key, walk, paths), reads as matched, nodes (component, id,
-    length), edges (component, node, left, nbr).  Rows: an anchor's reads, and dropped reads with their iteration."""
-    from pyspark.sql import functions as F
+def windows(snarls: DataFrame, reach: int, cut: bool = True) -> DataFrame:
+    """(component, win, snarl_id, own): runs of snarls that can touch each other, with the snarl before and after each run.
 
-    from ..functions import walks
+    snarls (component, snarl_id, low_node, low_length, high_node, high_length), in order of their ids.  A snarl grows by
+    ``reach`` bases at most.  Between two of them nothing can meet if they share a boundary node of more than 2 (reach + 1)
+    bases, or both boundary nodes are longer than reach + 1: neither then leaves its own node, and they cannot merge.
+    The neighbours of a run stand in it as they were, since a snarl grows only towards one that is there.
+    """
+    order = Window.partitionBy("component").orderBy("snarl_id")
+    before = {c: F.lag(c).over(order) for c in ("high_node", "high_length")}
+    shared = before["high_node"] == F.col("low_node")
+    apart = F.when(shared, F.col("low_length") > 2 * (reach + 1)).otherwise((F.col("low_length") > reach + 1) & (before["high_length"] > reach + 1))
+    first = before["high_node"].isNull() | (apart & F.lit(cut))
+    rows = snarls.withColumn("first", first)
+    rows = rows.withColumns({"win": F.sum(F.col("first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("first").over(order)})
+    last = F.when(F.col("next"), F.col("win") + 1)
+    previous = F.when(F.col("first") & (F.col("win") > 1), F.col("win") - 1)
+    places = F.array(F.struct(F.col("win").alias("win"), F.lit(True).alias("own")), F.struct(previous.alias("win"), F.lit(False).alias("own")), F.struct(last.alias("win"), F.lit(False).alias("own")))
+    return rows.select("component", "snarl_id", F.explode(places).alias("x")).filter("x.win is not null").select("component", "x.win", "snarl_id", "x.own")
+
+
+def ways_out(origins: DataFrame, nodes: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
+    """(origin, ways: array of (left, node, nbr, length)): the only way on from a boundary node, up to ``reach`` bases.
+
+    A round is a join along the sides with one neighbour; a way ends at a branch or when it is long enough, so there are
+    as many rounds as the longest way has nodes, reach + 1 at most.
+    """
+    single = kept(edges.groupBy("node", "left").agg(F.count_distinct("nbr").alias("n"), F.min("nbr").alias("nbr")).filter("n = 1").drop("n"))
+    sizes = nodes.select(F.col("id").alias("nbr"), "length")
+    at = origins.select(F.col("node").alias("origin"), F.explode(F.array(F.lit(True), F.lit(False))).alias("left"), "node", F.lit(0).cast("long").alias("bases"))
+    found = None
+    for _ in range(min(reach, 1 << 16) + 2):
+        step = kept(at.join(single, ["node", "left"]).join(sizes, "nbr").select("origin", "left", "node", "nbr", "length", (F.col("bases") + F.col("length")).alias("bases")))
+        found = step if found is None else found.unionByName(step)
+        at = step.filter(F.col("bases") <= reach).select("origin", "left", F.col("nbr").alias("node"), "bases")
+        if not at.limit(1).count():
+            break
+    return found.groupBy("origin").agg(F.collect_set(F.struct("left", "node", "nbr", "length")).alias("ways"))
 
+
+def extend_components(anchors, reads, nodes, edges, settings: Settings = DEFAULT, cut: bool = True):
+    """Fold every run of snarls: anchors (component, snarl_id, key, walk, paths), reads as matched, nodes (component, id,
+    length), edges (component, node, left, nbr).  Rows: an anchor's reads, and dropped reads with their iteration.
+
+    A component is cut where no two snarls can touch (``windows``), and a run brings only the nodes its snarls can reach,
+    so what one task folds does not grow with the component.  Without ``cut`` a component is one run.
+    """
     w = F.col("walk")
     a = anchors.select("component", "snarl_id", "key", "walk", "paths", walks.occupied(w[0]).alias("low"), walks.occupied(F.element_at(w, -1)).alias("high"))
     per = reads.groupBy("snarl_id", "key").agg(F.array_sort(F.collect_list(F.struct("read", "strand", "start", "end", "match_limit", "cs_left", "cs_right"))).alias("reads"))
-    one = a.join(per, ["snarl_id", "key"]).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("snarl_id", "key", "walk", "paths", "low", "high", "reads"))).alias("anchors"))
-    graph = nodes.groupBy("component").agg(F.collect_list(F.struct("id", "length")).alias("nodes"))
-    graph = graph.join(edges.groupBy("component").agg(F.collect_list(F.struct("node", "left", "nbr")).alias("edges")), "component", "left")
+    one = F.array_sort(F.collect_list(F.struct("key", "walk", "paths", "low", "high", "reads")))
+    snarls = kept(a.join(per, ["snarl_id", "key"]).groupBy("component", "snarl_id").agg(one.alias("anchors")))
+    ends_ = F.array_sort(F.array(*[F.struct(F.element_at(F.col("anchors")[0]["walk"], i)["id"].alias("node"), F.element_at(F.col("anchors")[0]["walk"], i)["length"].cast("long").alias("length")) for i in (1, -1)]))
+    bounds = snarls.select("component", "snarl_id", ends_.alias("e")).select("component", "snarl_id", *[F.col("e")[i][c].alias(f"{side}_{c}") for i, side in ((0, "low"), (1, "high")) for c in ("node", "length")])
+    bounds = kept(bounds)
+    placed = windows(bounds, settings.anchor_length, cut)
+    origins = bounds.select(F.explode(F.array("low_node", "high_node")).alias("node")).distinct()
+    ways = ways_out(origins, nodes, edges, settings.anchor_length if cut else 1 << 40)
+    known = bounds.select("component", "snarl_id", F.explode(F.array("low_node", "high_node")).alias("origin")).join(ways, "origin")
+    known = known.groupBy("component", "snarl_id").agg(F.flatten(F.collect_list("ways")).alias("ways"))
+    rows = placed.join(snarls, ["component", "snarl_id"]).join(known, ["component", "snarl_id"], "left")
+    runs = rows.groupBy("component", "win").agg(F.array_sort(F.collect_list(F.struct("snarl_id", "own", "anchors", "ways"))).alias("run"))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for c, anchors_, nodes_, edges_ in zip(pdf["component"], pdf["anchors"], pdf["nodes"], pdf["edges"]):
-                g = Graph({n["id"]: n["length"] for n in nodes_})
-                for e in edges_ if edges_ is not None else ():
-                    g.near.setdefault((e["node"], e["left"]), []).append(e["nbr"])
-                snarls: dict = {}
-                for x in anchors_:
-                    d = {k: x[k] for k in ("key", "low", "high")} | {"walk": [(n["id"], n["length"], n["fwd"]) for n in x["walk"]], "paths": list(x["paths"]), "reads": [dict(r) for r in x["reads"]]}
-                    # low and high are of the walk's ends; here they are of the graph's sides
-                    if d["walk"][0][0] > d["walk"][-1][0]:
-                        d["low"], d["high"] = d["high"], d["low"]
-                    snarls.setdefault(x["snarl_id"], []).append(d)
-                done, log = fold([{"id": str(k), "members": [k], "anchors": v} for k, v in sorted(snarls.items())], g, settings)
+            for c, members in zip(pdf["component"], pdf["run"]):
+                g = Graph({})
+                snarls, own = [], set()
+                for x in members:
+                    for n in x["ways"] if x["ways"] is not None else ():
+                        g.length[n["nbr"]] = n["length"]
+                        g.near[n["node"], n["left"]] = [n["nbr"]]
+                    anchors_ = []
+                    for y in x["anchors"]:
+                        d = {k: y[k] for k in ("key", "low", "high")} | {"walk": [(n["id"], n["length"], n["fwd"]) for n in y["walk"]], "paths": list(y["paths"]), "reads": [dict(r) for r in y["reads"]]}
+                        g.length |= {i: n for i, n, _ in d["walk"]}
+                        # low and high are of the walk's ends; here they are of the graph's sides
+                        if d["walk"][0][0] > d["walk"][-1][0]:
+                            d["low"], d["high"] = d["high"], d["low"]
+                        anchors_.append(d)
+                    snarls.append({"id": str(x["snarl_id"]), "members": [x["snarl_id"]], "anchors": anchors_})
+                    own |= {x["snarl_id"]} if x["own"] else set()
+                done, log = fold(snarls, g, settings)
                 for s in done:
+                    if s["members"][0] not in own:
+                        continue
                     for x in s["anchors"]:
                         walk = [{"id": i, "length": n, "fwd": bool(f)} for i, n, f in x["walk"]]
                         rows += [(c, s["id"], s["members"], x["key"], walk, x["low"], x["high"], size(x), x["paths"], r["read"], r["strand"], r["start"], r["end"], r["match_limit"], r["cs_left"], r["cs_right"], None) for r in x["reads"]]
-                rows += [(c, x["snarl"], None, x["anchor"], None, None, None, None, None, x["read"], None, None, None, None, None, None, x["iteration"]) for x in log]
+                mine = {str(k) for k in own}
+                rows += [(c, x["snarl"], None, x["anchor"], None, None, None, None, None, x["read"], None, None, None, None, None, None, x["iteration"]) for x in log if x["snarl"] in mine]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in OUT_NAMES]).astype({"strand": "Int32", "low": "Int32", "high": "Int32", "length": "Int32", "dropped_in": "Int32", **{k: "Int64" for k in ("start", "end", "match_limit", "cs_left", "cs_right")}})
 
-    return one.join(graph, "component").select("component", "anchors", "nodes", "edges").mapInPandas(run, OUT)
+    return runs.select("component", "run").mapInPandas(run, OUT)
 
 
 OUT_NAMES = ("component", "snarl_id", "members", "key", "walk", "low", "high", "length", "paths", "read", "strand", "start", "end", "match_limit", "cs_left", "cs_right", "dropped_in")

@@ -160,3 +160,36 @@ def test_fastq(spark, tmp_path):
     with gzip.open(tmp_path / "r.fq.gz", "wt") as f:
         f.write("@a\tx\nACGT\n+\n@@@@\n@b\nAC\n+\nII\n")
     assert sorted(tuple(r) for r in files.fastq(spark, f"{tmp_path}/r.fq.gz").collect()) == [("a", "ACGT", "+", "@@@@"), ("b", "AC", "+", "II")]
+
+
+def test_cut_components_fold_alike(spark):
+    """A long chain of bubbles with short and long boundary nodes: runs give what the whole component gives."""
+    rng = random.Random(21)
+    nodes, edges, anchors, reads = [], [], [], []
+    n = 60
+    bound = lambda k: 10 * k
+    length = {bound(k): rng.choice([1, 3, 8, 17, 18, 30, 34, 35, 80]) for k in range(n + 1)}
+    for k in range(n):
+        step = rng.random() < 0.3  # a further unbranched node between this bubble and the next
+        for j in (1, 2):
+            length[bound(k) + j] = rng.choice([1, 1, 2])
+            edges += [(bound(k), bound(k) + j), (bound(k) + j, bound(k) + 5 if step else bound(k + 1))]
+        if step:
+            length[bound(k) + 5] = rng.choice([1, 4, 20, 60])
+            edges.append((bound(k) + 5, bound(k + 1)))
+        end = bound(k) + 5 if step else bound(k + 1)
+        for j in (1, 2):
+            anchors.append((0, k, f"{k}.{j}", [(i, length[i], True) for i in (bound(k), bound(k) + j, end)], ["p", f"h{j}"]))
+            for r in range(rng.choice([4, 12, 15])):
+                reads.append((k, f"{k}.{j}", f"r{j}.{r}", rng.choice([0, 1]), 1000, 1002, 99, rng.randint(0, 40), rng.randint(0, 40)))
+    node = "array<struct<id:long,length:long,fwd:boolean>>"
+    a = spark.createDataFrame(anchors, f"component long, snarl_id long, key string, walk {node}, paths array<string>")
+    r = spark.createDataFrame(reads, "snarl_id long, key string, read string, strand int, start long, end long, match_limit long, cs_left long, cs_right long")
+    nodes = spark.createDataFrame([(0, i, x) for i, x in length.items()], "component long, id long, length long")
+    signed = spark.createDataFrame([(x, True, y, True) for x, y in edges], "src long, src_fwd boolean, dst long, dst_fwd boolean")
+    near = graph.sides(signed).select(F.lit(0).cast("long").alias("component"), "node", (F.col("side") == "L").alias("left"), "nbr")
+    whole, cut = (sorted(map(str, folding.extend_components(a, r, nodes, near, cut=c).collect())) for c in (False, True))
+    assert whole == cut and len(whole) > 500
+    assert any("'" in x and "-" in x.split("snarl_id='")[1].split("'")[0] for x in whole)  # some have merged
+    bounds = spark.createDataFrame([(0, k, bound(k), length[bound(k)], bound(k + 1), length[bound(k + 1)]) for k in range(n)], "component long, snarl_id long, low_node long, low_length long, high_node long, high_length long")
+    assert folding.windows(bounds, 16).select("win").distinct().count() > 8
