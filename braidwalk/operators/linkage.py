@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 def snarl_coverage(hits: DataFrame) -> DataFrame:
     return hits.groupBy("snarl").agg(F.count_distinct("read").alias("reads"))
@@ -27,37 +29,44 @@ def zygosity(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("snarl").agg(F.count("*").alias("n")).select("snarl", F.col("n").alias("n_anchors"), F.when(F.col("n") > 1, "het").otherwise("hom").alias("zygosity"))
 
 
-def _shared(hits: DataFrame) -> DataFrame:
-    """Distinct (s1, s2, read, a1, a2) with s1 < s2."""
-    once = hits.select("snarl", "read", "allele").distinct()
-    left = once.select(F.col("snarl").alias("s1"), "read", F.col("allele").alias("a1"))
-    right = once.select(F.col("snarl").alias("s2"), "read", F.col("allele").alias("a2"))
-    return left.join(right, "read").filter("s1 < s2")
-
-
-def linked_snarls(hits: DataFrame, least: int = 3) -> DataFrame:
-    """(s1, s2, shared): snarls that share at least ``least`` reads, which hit two alleles or more on both sides.
+def _pairs(hits: DataFrame) -> DataFrame:
+    """(s1, s2, read, x, y: the alleles the read hits on either side) with s1 < s2.
 
     Per read, alleles of a snarl are gathered first, so the pairs of a read grow with its snarls, not with its matches.
     """
     per = hits.groupBy("read", "snarl").agg(F.collect_set("allele").alias("alleles"))
-    pairs = per.select("read", F.col("snarl").alias("s1"), F.col("alleles").alias("x")).join(per.select("read", F.col("snarl").alias("s2"), F.col("alleles").alias("y")), "read").filter("s1 < s2")
+    left, right = per.select("read", F.col("snarl").alias("s1"), F.col("alleles").alias("x")), per.select("read", F.col("snarl").alias("s2"), F.col("alleles").alias("y"))
+    return left.join(right, "read").filter("s1 < s2")
+
+
+def _linked(pairs: DataFrame, least: int) -> DataFrame:
     some = lambda c: F.count_distinct(F.get(c, F.lit(0))) > 1
     both = lambda c: F.max(F.size(c)) > 1
     out = pairs.groupBy("s1", "s2").agg(F.count("*").alias("shared"), (some("x") | both("x")).alias("l"), (some("y") | both("y")).alias("r"))
     return out.filter((F.col("shared") >= least) & F.col("l") & F.col("r")).select("s1", "s2", "shared")
 
 
-def _partitions(shared: DataFrame, allele: str) -> DataFrame:
-    sets = shared.groupBy("s1", "s2", allele).agg(F.array_sort(F.collect_set("read")).alias("reads"))
-    return sets.groupBy("s1", "s2").agg(F.array_sort(F.collect_list("reads")).alias(allele))
+def linked_snarls(hits: DataFrame, least: int = 3) -> DataFrame:
+    """(s1, s2, shared): snarls that share at least ``least`` reads, which hit two alleles or more on both sides."""
+    return _linked(_pairs(hits), least)
+
+
+def _partitions(pairs: DataFrame, alleles: str) -> DataFrame:
+    sets = pairs.select("s1", "s2", "read", F.explode(alleles).alias("allele")).groupBy("s1", "s2", "allele").agg(F.array_sort(F.collect_set("read")).alias("reads"))
+    return sets.groupBy("s1", "s2").agg(F.array_sort(F.collect_list("reads")).alias(alleles))
+
+
+def _parted(hits: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(links, (s1, s2, x, y: how each side parts the shared reads) of linked snarls); reads are paired once."""
+    pairs = kept(_pairs(hits))
+    links = kept(_linked(pairs, least))
+    shared = pairs.join(links.select("s1", "s2"), ["s1", "s2"], "left_semi")
+    return links, _partitions(shared, "x").join(_partitions(shared, "y"), ["s1", "s2"])
 
 
 def compatible_snarls(hits: DataFrame, least: int = 3) -> DataFrame:
     """(s1, s2, compatible) of linked snarls: whether both part their shared reads in the same way."""
-    shared = _shared(hits).join(linked_snarls(hits, least).select("s1", "s2"), ["s1", "s2"], "left_semi")
-    both = _partitions(shared, "a1").join(_partitions(shared, "a2"), ["s1", "s2"])
-    return both.select("s1", "s2", (F.col("a1") == F.col("a2")).alias("compatible"))
+    return _parted(hits, least)[1].select("s1", "s2", (F.col("x") == F.col("y")).alias("compatible"))
 
 
 def matched_partitions(primary: list[set], other: list[set], tolerance: int = 0) -> bool:
@@ -75,16 +84,17 @@ def matched_partitions(primary: list[set], other: list[set], tolerance: int = 0)
     return True
 
 
-def compatible_within(hits: DataFrame, tolerance: int, least: int = 3) -> DataFrame:
-    """As compatible_snarls, with a tolerance; a pair of snarls is a group, of the reads the two share."""
-    shared = _shared(hits).join(linked_snarls(hits, least).select("s1", "s2"), ["s1", "s2"], "left_semi")
-    both = _partitions(shared, "a1").join(_partitions(shared, "a2"), ["s1", "s2"])
-
+def _match(tolerance: int):
     @F.pandas_udf("boolean")
     def match(a, b):
         return a.combine(b, lambda x, y: matched_partitions([set(s) for s in x], [set(s) for s in y], tolerance))
 
-    return both.select("s1", "s2", match("a1", "a2").alias("compatible"))
+    return match
+
+
+def compatible_within(hits: DataFrame, tolerance: int, least: int = 3) -> DataFrame:
+    """As compatible_snarls, with a tolerance; a pair of snarls is a group, of the reads the two share."""
+    return _parted(hits, least)[1].select("s1", "s2", _match(tolerance)("x", "y").alias("compatible"))
 
 
 def reliable_snarls(anchors: DataFrame, compatible: DataFrame, more_than: float = 0.1, add_back_hom: bool = True) -> DataFrame:
@@ -101,16 +111,15 @@ def reliable_snarls(anchors: DataFrame, compatible: DataFrame, more_than: float
 
 def snarl_tables(hits: DataFrame, least: int = 3, tolerance: int = 0) -> dict[str, DataFrame]:
     """The tables kept beside the anchors: coverage, allelic coverage, common reads (both ways), compatibility and partitions."""
-    links = linked_snarls(hits, least)
+    links, parts = _parted(hits, least)
     mirrored = links.select(F.explode(F.array(F.struct(F.col("s1").alias("snarl"), F.col("s2").alias("linked")), F.struct(F.col("s2").alias("snarl"), F.col("s1").alias("linked")))).alias("x"), "shared")
-    shared = _shared(hits).join(links.select("s1", "s2"), ["s1", "s2"], "left_semi")
-    parts = _partitions(shared, "a1").join(_partitions(shared, "a2"), ["s1", "s2"])
+    same = _match(tolerance)("x", "y") if tolerance else F.col("x") == F.col("y")
     return {
         "coverage": snarl_coverage(hits),
         "allelic_coverage": allelic_coverage(hits),
         "common_reads": mirrored.select("x.snarl", "x.linked", "shared"),
-        "compatibility": compatible_within(hits, tolerance, least) if tolerance else compatible_snarls(hits, least),
-        "partitions": parts.select("s1", "s2", F.col("a1").alias("primary"), F.col("a2").alias("other")),
+        "compatibility": parts.select("s1", "s2", same.alias("compatible")),
+        "partitions": parts.select("s1", "s2", F.col("x").alias("primary"), F.col("y").alias("other")),
     }
 
 
