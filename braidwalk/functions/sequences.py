@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,68 +39,70 @@ def outside(s: Column, intervals: Column) -> Column:
     return F.concat(r["kept"], F.substring(s, r["at"] + 1, F.length(s)))
 
 
+_BASES = np.full(256, -1, np.int64)
+_BASES[list(b"ACGT")] = _BASES[list(b"acgt")] = range(4)
+
+
+def _repeated(seq: str, window: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triplet at each end or -1, first end of its unbroken stretch, ends at which an interval may begin to score).
+
+    An interval scores no less without its newest triplet unless that adds more than the ratio it must pass, so only ends
+    whose triplet stands often enough in the window count: found from each triplet's sorted places, without a loop.
+    """
+    base = _BASES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(base)
+    triplet = np.full(n, -1)
+    if n < 3:
+        return triplet, np.zeros(n, np.int64), np.zeros(0, np.int64)
+    whole = (base[2:] >= 0) & (base[1:-1] >= 0) & (base[:-2] >= 0)
+    triplet[2:] = np.where(whole, base[:-2] << 4 | base[1:-1] << 2 | base[2:], -1)
+    ends = np.flatnonzero(triplet >= 0)
+    begins = np.maximum.accumulate(np.where((triplet >= 0) & (np.concatenate([[-1], triplet[:-1]]) < 0), np.arange(n), 0))
+    key = np.sort(triplet[ends] * (n + window) + ends)
+    oldest = np.maximum(begins[ends], ends + 3 - window)
+    row = triplet[ends] * (n + window)
+    count = np.searchsorted(key, row + ends, side="right") - np.searchsorted(key, row + oldest)
+    return triplet, begins, ends[(count - 1) * 2 > threshold]
+
+
 def dust_intervals(seq: str, window: int = 40, threshold: int = 4) -> list[tuple[int, int]]:
     """Low-complexity intervals by symmetric DUST.
 
     An interval of triplets scores the sum of c (c - 1) / 2 over triplet counts, divided by its number of triplets less
     one.  It is masked if it scores over half of ``threshold`` and no part of it scores more.
     """
-    code = {c: i for i, c in enumerate("ACGT")}
-    n = len(seq)
+    triplet, begins, ends = _repeated(seq, window, threshold)
     perfect: list[tuple[int, int, float]] = []
-    masked: list[list[int]] = []
-    triplets: deque[tuple[int, int]] = deque()
-    within = [0] * 64  # of each triplet, in the window
-
-    def best_from(end: int) -> None:
-        """Perfect intervals that end with the newest triplet."""
+    masked: list[tuple[int, int]] = []
+    stretch = -1
+    for i in ends.tolist():
+        if begins[i] != stretch:
+            stretch = int(begins[i])
+            perfect.clear()
+        oldest = max(stretch, i + 3 - window)
+        perfect[:] = [p for p in perfect if p[0] >= oldest - 2]
         counts: dict[int, int] = {}
         score, top = 0, 0.0
-        for length, (start, t) in enumerate(reversed(triplets), 1):
+        for length, t in enumerate(triplet[oldest : i + 1][::-1].tolist(), 1):
+            start = i - 1 - length
             c = counts.get(t, 0)
             score += c
             counts[t] = c + 1
             if length > 1:
                 ratio = score / (length - 1)
                 if ratio * 2 > threshold and ratio >= top:
-                    inside = max((p[2] for p in perfect if p[0] >= start and p[1] <= end), default=0.0)
+                    inside = max((p[2] for p in perfect if p[0] >= start and p[1] <= i + 1), default=0.0)
                     if ratio >= inside:
-                        perfect.append((start, end, ratio))
+                        perfect.append((start, i + 1, ratio))
+                        masked.append((start, i + 1))
                 top = max(top, ratio)
-
-    word, run = 0, 0
-    for i, ch in enumerate(seq.upper()):
-        b = code.get(ch)
-        if b is None:
-            word, run = 0, 0
-            triplets.clear()
-            perfect.clear()
-            within = [0] * 64
-            continue
-        word, run = (word << 2 | b) & 63, run + 1
-        if run < 3:
-            continue
-        triplets.append((i - 2, word))
-        within[word] += 1
-        while triplets[0][0] < i + 1 - window:
-            old, gone = triplets.popleft()
-            within[gone] -= 1
-            if perfect:
-                perfect[:] = [p for p in perfect if p[0] > old]
-        # an interval scores no less without its newest triplet unless that adds more than the ratio it must pass
-        if (within[word] - 1) * 2 <= threshold:
-            continue
-        before = len(perfect)
-        best_from(i + 1)
-        for s, e, _ in perfect[before:]:
-            masked.append([s, e])
     out: list[list[int]] = []
     for s, e in sorted(masked):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
-    return [(s, min(e, n)) for s, e in out]
+    return [(s, e) for s, e in out]
 
 
 def low_complexity(s: Column, window: int = 40, threshold: int = 4) -> Column:
