@@ -2,7 +2,8 @@
 
 Base patterns (leftmost, not overlapping within a kind) are always reported.  The method adds spans: over each run of
 a character class of at least ``WINDOW`` characters, the Shannon entropy of every window of ``WINDOW`` characters is
-kept by incremental counts; windows at or over the class's threshold merge into a span.  A span is suppressed if the
+kept by incremental counts; windows at or over the class's threshold merge into a span, which takes in what is left of
+the run on a side if that is shorter than a window.  A span is suppressed if the
 whole candidate or the span matches the allow-list, or if a base span covers it.
 
 Texts: null counts as empty (no spans); whole texts of any length in one pass; repeated rows give repeated results; an
@@ -93,7 +94,7 @@ def method_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         whole = cand[0]
         if covered(*cand.span()) or allowed(whole):
             continue
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int, str]] = []
         for kind, runs, least in CLASSES:
             for run in runs.finditer(whole):
                 lo = None
@@ -103,12 +104,16 @@ def method_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
                         lo = i if lo is None else lo
                         hi = i + WINDOW
                     elif lo is not None and (x < 0 or i >= hi):  # windows that touch have merged
-                        s, e = run.start() + lo, run.start() + hi
+                        # what is left of the run is too short to be judged alone: it belongs to the span
+                        s, e = run.start() + (lo if lo >= WINDOW else 0), run.start() + (hi if len(run[0]) - hi >= WINDOW else len(run[0]))
                         lo = None
-                        if not allowed(whole[s:e]) and not any(s < b and a < e for a, b in taken):
-                            taken.append((s, e))
-                            if not covered(cand.start() + s, cand.start() + e):
-                                out.append((cand.start() + s, cand.start() + e, kind))
+                        if allowed(whole[s:e]):
+                            continue
+                        # of spans that overlap the first class names the place, unless a wider class sees more of it
+                        under = [t for t in taken if s < t[1] and t[0] < e]
+                        if all(s <= t[0] and t[1] <= e for t in under) and (not under or (s, e) != under[0][:2]):
+                            taken = [t for t in taken if t not in under] + [(s, e, kind)]
+        out += [(cand.start() + s, cand.start() + e, kind) for s, e, kind in taken if not covered(cand.start() + s, cand.start() + e)]
     return out
 
 

@@ -267,6 +267,35 @@ def test_languages(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict_documents(docs, none).collect()} == {"und"}
 
 
+def test_languages_against_plain_ranks(spark):
+    """Profiles and distances from counted n-grams, word by word."""
+    rng = random.Random(14)
+    langs = {"aa": "kalomitu", "bb": "schpfungei", "cc": "çãonhalré"}
+
+    def grams(text):
+        out = collections.Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            c = [langid.EDGE, *map(ord, word), langid.EDGE]
+            out.update(c[1:-1])
+            out.update(a << 21 | b for a, b in zip(c, c[1:]))
+            out.update((a << 21 | b) << 21 | d for a, b, d in zip(c, c[1:], c[2:]))
+        return [g for g, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))[: langid.TOP]]
+
+    made = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 6))) + rng.choice(["", ",", ". 12", "\u0130"]) for _ in range(rng.randint(1, 60)))
+    rows = [(made(s if rng.random() < 0.8 else s + "xyz"), k) for k, s in langs.items() for _ in range(20)]
+    profiles = langid.learn_profiles(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    want = {k: grams(" ".join(t for t, lang in rows if lang == k)) for k in langs}
+    assert {k: v.tolist() for k, v in profiles.items()} == want
+    c = langid.Classifier(profiles)
+    for _ in range(60):
+        text = made(rng.choice(list(langs.values())) + rng.choice(list(langs.values())))
+        own = grams(text)
+        far = {k: sum(abs(want[k].index(g) - i) if g in want[k] else langid.TOP for i, g in enumerate(own)) for k in langs}
+        best = min(langs, key=lambda k: (far[k], k))
+        second = min(far[k] for k in langs if k != best)
+        assert c.predict(text) == (best, 1 - far[best] / second)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(6)
     bad = ["scumlow", "scumpa", "idiotic"]
