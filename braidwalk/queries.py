@@ -417,4 +417,58 @@ def low_complexity(spark, d):
     return rows.select("doc_id", F.size("x").alias("n_intervals"), F.aggregate("x", F.lit(0), lambda s, i: s + i["e"] - i["s"]).alias("masked"))
 
 
+#: Reads of anchors that a node beyond the boundary may take in: order lines; the bubble is the supplier.
+NODE_READS = """reads AS (SELECT l_suppkey AS snarl, CAST(l_linenumber % 3 AS INT) AS anchor, l_orderkey * 10 + l_linenumber AS read, CAST(l_orderkey % 2 AS INT) AS strand, l_orderkey AS s, l_orderkey + 2 AS e,
+ CAST(l_quantity AS INT) AS cl, CAST(51 - l_quantity AS INT) AS cr, 1 + l_suppkey % 5 AS b, 1 + l_suppkey % 4 AS n FROM lineitem),
+r AS (SELECT *, (b + 1) // 2 + n // 2 + 1 AS added, CASE WHEN strand = 0 THEN cl ELSE cr END >= (b + 1) // 2 + n // 2 + 1 AS fits FROM reads),
+able AS (SELECT snarl, anchor FROM r GROUP BY 1, 2 HAVING count(*) FILTER (fits) >= count(*) * 0.9), grown AS (SELECT snarl FROM able GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH {NODE_READS} SELECT r.snarl, r.anchor, read, strand, s - added + 1 AS start, e AS "end", cl - CASE WHEN strand = 0 THEN added - 1 ELSE 0 END AS cs_left, cr - CASE WHEN strand = 0 THEN 0 ELSE added - 1 END AS cs_right, true AS extended
+FROM r JOIN able ON r.snarl = able.snarl AND r.anchor = able.anchor JOIN grown ON grown.snarl = r.snarl WHERE fits UNION ALL SELECT snarl, anchor, read, strand, s, e, cl, cr, false FROM r WHERE snarl NOT IN (FROM grown)""")
+def extended_into_node(spark, d):
+    from .operators.extension import extended_into_node as grow
+
+    x = t(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_orderkey", "l_quantity")
+    q = F.col("l_quantity").cast("int")
+    reads = x.select(F.col("l_suppkey").alias("snarl"), (F.col("l_linenumber") % 3).cast("int").alias("anchor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read"), (F.col("l_orderkey") % 2).cast("int").alias("strand"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 2).alias("end"), q.cast("long").alias("cs_left"), (51 - q).cast("long").alias("cs_right"))
+    s = reads.select("snarl").distinct()
+    return grow(reads, s.select("snarl", (1 + F.col("snarl") % 5).alias("boundary_length"), (1 + F.col("snarl") % 4).alias("node_length")), True)
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, coalesce(list(DISTINCT l_linenumber % 3) FILTER (l_returnflag = 'R'), []) AS a, coalesce(list(DISTINCT l_linenumber % 3) FILTER (l_returnflag <> 'R'), []) AS b FROM lineitem GROUP BY 1)
+SELECT k AS read, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS subset FROM s""")
+def read_subsets(spark, d):
+    x = t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("m", F.col("l_linenumber") % 3)
+    g = x.groupBy(F.col("l_orderkey").alias("read")).agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("m"))).alias("a"), F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("m"))).alias("b"))
+    return g.select("read", linkage.subsets(F.col("a"), F.col("b")).alias("subset"))
+
+
+@query("SELECT doc_id, substr(text, 1, CAST(doc_id % 7 AS INT)) || substr(text, CAST(doc_id % 7 + 6 AS INT), 10) || substr(text, CAST(doc_id % 7 + 20 AS INT)) AS kept FROM documents")
+def outside_intervals(spark, d):
+    at = (F.col("doc_id") % 7).cast("int")
+    iv = F.array(F.struct((at + 15).alias("s"), (at + 19).alias("e")), F.struct(at.alias("s"), (at + 4).alias("e")), F.struct((at + 2).alias("s"), (at + 5).alias("e")))
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", sq.outside(F.col("text"), iv).alias("kept"))
+
+
+#: Anchors of a bubble whose pieces are alike outside low complexity: here no piece has any, so alike at all.
+@query("""WITH r AS (SELECT p_size AS snarl_id, p_brand AS anchor, min(p_partkey) AS read FROM part GROUP BY 1, 2), s AS (SELECT snarl_id, anchor, CASE WHEN read % 3 = 0 THEN 'ACGTTGCA' ELSE 'ACGT' || lpad(bin(read), 16, '0') END AS piece FROM r WHERE snarl_id % 5 <> 0)
+SELECT DISTINCT snarl_id FROM (SELECT snarl_id, piece FROM s GROUP BY 1, 2 HAVING count(*) > 1)""")
+def repeated_snarls(spark, d):
+    p = t(spark, d, "part", "p_partkey", "p_size", "p_brand")
+    piece = F.when(F.col("p_partkey") % 3 == 0, "ACGTTGCA").otherwise(F.concat(F.lit("ACGT"), F.lpad(F.bin("p_partkey"), 16, "0")))
+    reads = p.select(F.col("p_partkey").alias("read"), piece.alias("seq"))
+    rows = p.select(F.col("p_size").alias("snarl_id"), F.col("p_brand").alias("anchor"), F.col("p_partkey").alias("read"), F.lit(0).alias("strand"), F.lit(0).cast("long").alias("start"), F.when(F.col("p_partkey") % 3 == 0, 8).otherwise(20).cast("long").alias("end"))
+    exempt = p.filter("p_size % 5 = 0").select(F.col("p_size").alias("snarl_id")).distinct()
+    return quality.repeated_snarls(rows, reads, exempt)
+
+
+@query("SELECT l_suppkey AS snarl, min(l_quantity) < 16 AS short, count(DISTINCT l_linenumber) > 1 AS het FROM lineitem GROUP BY 1")
+def extension_gate(spark, d):
+    x = t(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_quantity")
+    from .operators.extension import gate
+
+    return gate(x.select(F.col("l_suppkey").alias("snarl"), F.col("l_linenumber").alias("key"), F.col("l_quantity").alias("length")), DEFAULT.anchor_length)
+
+
 from . import queries_files, queries_genome, queries_viewer  # noqa: E402, F401  add their own

@@ -231,3 +231,10 @@ def graph_components(spark, d):
 
     signed = edges(spark, d).select("src", F.lit(True).alias("src_fwd"), "dst", F.lit(True).alias("dst_fwd"))
     return components(signed).select("node", "component")
+
+
+@query(duck(f"WITH {STEPS} SELECT DISTINCT path FROM steps"))
+def path_names(spark, d):
+    from .sources.files import path_names as names
+
+    return names(steps(spark, d))

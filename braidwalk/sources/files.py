@@ -46,6 +46,11 @@ def gfa_steps(spark: SparkSession, path: str) -> DataFrame:
     return steps.join(gfa_nodes(spark, path).select(F.col("node_id").alias("node"), "length"), "node").select("path", "idx", "node", "fwd", "length")
 
 
+def path_names(steps: DataFrame) -> DataFrame:
+    """Names of the embedded paths, in order."""
+    return steps.select("path").distinct().orderBy("path")
+
+
 def gaf(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(alignments, rejects): distinct lines, first kept; rejects carry a reason."""
     once = lines(spark, path).groupBy(F.trim("value").alias("value")).agg(F.min("at").alias("at"))
