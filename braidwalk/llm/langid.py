@@ -5,8 +5,10 @@ most frequent first, ties by code.  A text goes to the language whose profile ha
 each n-gram of the text's own profile the difference of the two ranks, or ``TOP`` where the language lacks it.  The
 score is 1 - least distance / second least (with one language: 1 - distance / largest possible).
 
-Profiles are counted over all training rows.  A null text, or one without a letter, is ``und`` with score 0; so is every
-text if there is nothing to learn from.  Ties go to the first language in alphabetical order.
+Profiles are counted over all training rows, repeated ones as often as they stand.  A null text, or one without a letter,
+is ``und`` with score 0; so is every text if there is nothing to learn from.  Ties go to the first language in alphabetical
+order.  Whole texts are counted a stretch at a time; an empty table gives an empty result.  Columns of the input pass
+through, but those with the name of a result give way to it.
 """
 
 from __future__ import annotations

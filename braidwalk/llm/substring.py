@@ -197,35 +197,52 @@ def _segments(length: int):
 
 
 def _trees(length: int):
-    """Groups of segments -> ranges of repeated words; small groups share a sort, each with its own subtree."""
+    """Groups of segments -> ranges of repeated words; small groups share a sort, each with its own subtree.
 
-    def found(pieces: list[tuple[int, dict]]) -> pa.RecordBatch:
-        tree = SuffixTree([(g, p["words"].split(b" "), p["windows"]) for g, p in pieces])
+    Segments of a group that are equal word for word are one path: all their suffixes are repeated, and one stands in the
+    tree for them.
+    """
+
+    def found(groups: list[dict[bytes, list[int]]], windows: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(segment, first word, end) of repeated words; a group: its segments by their words."""
+        lists, members = [], []
+        for g, by_words in enumerate(groups):
+            for words, same in by_words.items():
+                n = windows[same[0]]
+                if len(same) > 1:
+                    yield from ((k, 0, n - 1 + length) for k in same)
+                if len(by_words) > 1:
+                    lists.append((g, words.split(b" "), n)), members.append(same)
+        if not lists:
+            return
+        tree = SuffixTree(lists)
         owner, start, depth = tree.repeats(length)
         order = np.lexsort((start, owner))
-        out: list[tuple] = []
         owner, start, depth = owner[order], start[order], depth[order]
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for o, s, d in zip(np.split(owner, cuts), np.split(start, cuts), np.split(depth, cuts)):
-            if len(o):
-                p = pieces[o[0]][1]
-                out += [(p["k1"], p["k2"], p["at"] + a, p["at"] + b) for a, b in _joined(zip(s.tolist(), (s + d).tolist()))]
-        cols = zip(*out) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["k1", "k2", "lo", "hi"])
+            if len(o) and len(members[o[0]]) == 1:
+                for lo, hi in _joined(zip(s.tolist(), (s + d).tolist())):
+                    yield members[o[0]][0], lo, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, dict]] = []
-        size = group = 0
         for batch in batches:
-            for g in batch.column(0):
-                pieces = g.as_py()
-                held += [(group, p) for p in pieces]
-                size, group = size + sum(p["windows"] for p in pieces), group + 1
-                if size >= SORTED:
-                    yield found(held)
-                    held, size, group = [], 0, 0
-        if held:
-            yield found(held)
+            col = batch.column(0)
+            flat, offsets = col.flatten(), (col.offsets.to_numpy() - col.offsets[0].as_py()).tolist()
+            k1, k2, at = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "at"))
+            words, windows = flat.field("words").to_pylist(), flat.field("windows").to_pylist()
+            groups, size = [], 0
+            for lo, hi in zip(offsets, offsets[1:]):
+                by_words: dict[bytes, list[int]] = {}
+                for k in range(lo, hi):
+                    by_words.setdefault(words[k], []).append(k)
+                groups.append(by_words)
+                size += sum(windows[same[0]] for same in by_words.values()) if len(by_words) > 1 else 0
+                if size >= SORTED or hi == offsets[-1]:
+                    rows = np.array(list(found(groups, windows)), np.int64).reshape(-1, 3)
+                    k, groups, size = rows[:, 0], [], 0
+                    cols = [k1[k], k2[k], (at[k] + rows[:, 1]).astype(np.int32), (at[k] + rows[:, 2]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["k1", "k2", "lo", "hi"])
 
     return run
 
