@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 #: Pre-tokens of at most so many characters are remembered, at most so many of them, twice (lately used, and before).
-REMEMBER_CHARS, REMEMBER = 40, 150_000
+REMEMBER_CHARS, REMEMBER = 40, 110_000
 #: From so many pairs on a heap is faster than a list; both make the same merges.
 HEAP = 48
 #: Texts are normalised in stretches of about so many characters, cut before a space.
@@ -203,8 +203,8 @@ class Codec:
         #: Fixed value: the vocabulary file's pattern of pre-tokens.  White space only separates, so it stays as it is.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.m.special, key=len, reverse=True))) + ")") if self.m.special else None
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
-        self.before: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.before: dict[str, tuple[int, str, bytes]] = {}
 
     def blocks(self, text: str) -> Iterator[list[str] | int]:
         """Pre-tokens in order, a list for each stretch; a special token's own string gives its id."""
@@ -227,12 +227,12 @@ class Codec:
         yield from t.feed(word.encode())
         yield from t.close()
 
-    def entry(self, word: str) -> tuple[int, str, bytes, list[int]]:
-        """(number of ids, ids as text, bytes of the tokens' strings, ids) of a pre-token."""
+    def entry(self, word: str) -> tuple[int, str, bytes]:
+        """(number of ids, ids as text, bytes of the tokens' strings) of a pre-token."""
         out = self.before.get(word)
         if out is None:
             m, ids = self.m, list(self.ids(word))
-            out = (len(ids), " ".join([m.id_text[t] for t in ids]), b" ".join([m.surface_bytes[t] for t in ids]), ids)
+            out = (len(ids), " ".join([m.id_text[t] for t in ids]), b" ".join([m.surface_bytes[t] for t in ids]))
         if len(word) <= REMEMBER_CHARS:
             if len(self.known) >= REMEMBER:
                 self.before = dict(self.known)
@@ -240,10 +240,10 @@ class Codec:
             self.known[word] = out
         return out
 
-    def stream(self, text: str) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
+    def stream(self, text: str) -> Iterator[list[tuple[int, str, bytes]]]:
         """Entries in order, in lists; the ids of a giant pre-token one by one as they become stable."""
         get, entry, m = self.known.get, self.entry, self.m
-        single = lambda t: [(1, str(t), m.surface_bytes[t], [t])]
+        single = lambda t: [(1, str(t), m.surface_bytes[t])]
         for block in self.blocks(text):
             if isinstance(block, int):
                 yield single(block)
@@ -254,7 +254,7 @@ class Codec:
                 yield [get(w) or entry(w) for w in block]
 
     def encode(self, text: str) -> list[int]:
-        return [t for entries in self.stream(text) for e in entries for t in e[3]]
+        return [int(t) for entries in self.stream(text) for e in entries for t in e[1].split()]
 
     def digest(self, text: str, with_ids: bool = False) -> tuple:
         """(number of tokens, SHA-256 of the ids as text, SHA-256 of the decoded text[, ids])."""
@@ -262,11 +262,12 @@ class Codec:
         h, d, decoder = hashlib.sha256(), hashlib.sha256(), TextDecoder(self.m)
         for entries in self.stream(text):
             n += sum([e[0] for e in entries])
-            h.update((sep + " ".join([e[1] for e in entries])).encode())
+            ids = " ".join([e[1] for e in entries])
+            h.update((sep + ids).encode())
             d.update(decoder.feed_bytes(b" ".join([e[2] for e in entries])).encode())
             sep = " "
             if with_ids:
-                kept += [t for e in entries for t in e[3]]
+                kept += map(int, ids.split())
         d.update(decoder.close().encode())
         return (n, h.hexdigest(), d.hexdigest(), kept) if with_ids else (n, h.hexdigest(), d.hexdigest())
 

@@ -25,7 +25,7 @@ def remainder(doc_id: str | Column, n: int) -> Column:
 
 
 #: Bytes of an Arrow batch sent to a task, so that long texts and nested rows stay in bounds.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -60,6 +60,17 @@ def named_results(rows: DataFrame, results: list[str]) -> DataFrame:
     return rows.select(*[F.col("rest")[n].alias(n) for n in names], *results)
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system: workers live on, with all their stages' peaks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def each_text(rows: DataFrame, work: Callable[[], Callable[[str], tuple]], fields: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """What ``work()(text)`` returns for each whole text (null: empty) as columns, in place of ``text`` or beside it.
 
@@ -92,6 +103,7 @@ def each_text(rows: DataFrame, work: Callable[[], Callable[[str], tuple]], field
                 out = [one(x.as_py() or "") for x in part.column(at)]
                 cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + cols, names + extra)
+        trim()
 
     return rows.mapInArrow(run, schema)
 

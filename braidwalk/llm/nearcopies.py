@@ -146,7 +146,7 @@ def near_copy_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stored(rows.select("_row", F.col("_set").alias("set"), "_fp", "_keys").join(one.select("_row"), "_row", "left_semi"))
     keyed = nodes.select("set", F.explode(F.concat("_keys", F.array(F.xxhash64(F.lit("fp"), "_fp")))).alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = stored(keyed.join(shared.hint("merge"), "key"))
+    members = stored(skew_join(keyed, shared.withColumn("rows", F.col("n")), "key", "rows"))
     popular = members.groupBy("set").agg(F.sum("n").alias("score"))
     centres = members.join(popular, "set").groupBy("key").agg(F.max(F.struct("score", "set")).alias("c"))
     centres = centres.select("key", F.col("c.set").alias("first"))
@@ -154,7 +154,7 @@ def near_copy_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_fp = nodes.groupBy("_fp").agg(F.min("set").alias("set"))
     found = links(by_fp.select(F.col("_fp").alias("fp")))
     found = found.join(by_fp.toDF("a", "p"), "a").join(by_fp.toDF("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    stars = members.join(centres.hint("merge"), "key").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b"))
+    stars = skew_join(members.select("key", "set"), stored(centres.join(shared, "key")), "key", "n").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b"))
     pairs = stored(stars.unionByName(found).filter("a <> b").distinct())
 
     def texts(pairs: DataFrame) -> DataFrame:
