@@ -499,6 +499,19 @@ def test_language_model(docs, empty, monkeypatch, words):
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) and r["score"] < 0 for r in untrained)
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """Texts that the start does not take change the layer."""
+    monkeypatch.setattr(lmscore, "SAMPLE", 1)
+    monkeypatch.setattr(lmscore, "STEPS", 2)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = []
+    for other in ("red green blue", "blue green red"):
+        rows = [("red green blue green red", 0)] * 5 + [(other, (1 << 30) - 1)] * 195
+        found.append(lmscore.learned(spark.createDataFrame(rows, "text string, u long").coalesce(1), path).model.net.p)
+    assert all(np.isfinite(x).all() for x in found[0].values())
+    assert any(not np.allclose(found[0][k], found[1][k], atol=1e-4) for k in found[0])
+
+
 def test_spelling_sums_to_one():
     rng = np.random.default_rng(3)
     counts = np.append(rng.integers(0, 50, 3000) * (rng.random(3000) < 0.9), 40).astype(float)
