@@ -552,6 +552,33 @@ def test_attention_gradients_and_windows():
         assert sorted(at[used].tolist()) == list(range(n))  # each token once
 
 
+def test_training_skips_places_of_context():
+    """Windows that begin texts come apart; in the other batches only places that are scored are worked out, with equal gradients."""
+    rng = np.random.default_rng(5)
+    m = lmscore.Model.__new__(lmscore.Model)
+    m.input, m.spelling = np.arange(1, 31), lmscore.Spelling.__new__(lmscore.Spelling)
+    m.spelling.of = np.arange(30) % 5
+    texts = [rng.integers(0, 30, n) for n in (1, 500, 40, 41, 3000, 7)]
+    context = lmscore.WINDOW - lmscore.STRIDE
+    batches = list(m.training_batches([(np.concatenate(texts[:3]), np.array([1, 500, 40])), (np.concatenate(texts[3:]), np.array([41, 3000, 7]))]))
+    assert sum(w.sum() for _, _, w in batches) == sum(map(len, texts))  # every id once
+    early = [w[:, 0].all() for _, _, w in batches]
+    assert True in early and False in early and all(e or not w[:, :context].any() for e, (_, _, w) in zip(early, batches))
+    net = lmscore.Attention(31, rng, np.zeros(5))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y, w = next(b for b, e in zip(batches, early) if not e)
+    assert len(net.attend(x, lmscore.first_place(w))[-1]) == len(x) * lmscore.STRIDE
+    _, g = net.step(x, y, w)
+    for k in net.p:
+        i = (int(x[0, 30]), 3) if k == "E" else tuple(rng.integers(0, s) for s in net.p[k].shape)
+        losses = []
+        for move in (1e-5, -2e-5):
+            net.p[k][i] += move
+            losses.append(net.step(x, y, w)[0])
+        net.p[k][i] += 1e-5
+        assert abs((losses[0] - losses[1]) / 2e-5 - g[k][i]) < 1e-6, k
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)]
